@@ -1,0 +1,42 @@
+import pytest
+
+from graphloom.operators.relations import co_user, rating_within_days, same_rating
+from graphloom.operators.topk import topk_neighbours
+from tests.conftest import frame, shared, visits
+
+
+def brute_force(weight, k):
+    near = {}
+    for (a, b), w in weight.items():
+        near.setdefault(a, []).append((-w, b))
+        near.setdefault(b, []).append((-w, a))
+    return {
+        (node, rank, b, -w)
+        for node, found in near.items()
+        for rank, (w, b) in enumerate(sorted(found)[:k], 1)
+    }
+
+
+@pytest.mark.parametrize("limit", [2, 5, 20, 256])
+def test_the_hub_limit_does_not_change_the_ranking(spark, limit):
+    rows = visits(3)
+    got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), limit), 5).collect()}
+    assert got == brute_force(shared([(i, u) for u, i, r, ts in rows]), 5)
+
+
+def test_one_hub_holds_everybody(spark):
+    rows = [(u, 0, 1, None) for u in range(50)] + [(u, u % 7 + 1, 1, None) for u in range(0, 50, 3)]
+    got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), 10), 3).collect()}
+    assert got == brute_force(shared([(i, u) for u, i, r, ts in rows]), 3)
+
+
+def test_composite_keys(spark):
+    rows = visits(4)
+    got = {tuple(r) for r in topk_neighbours(same_rating(frame(spark, rows), 5), 4).collect()}
+    keyed = [((i, r), u) for u, i, r, ts in rows if r is not None]
+    assert got == brute_force(shared(keyed), 4)
+
+
+def test_days_have_no_weight(spark):
+    with pytest.raises(ValueError):
+        topk_neighbours(rating_within_days(frame(spark, visits(4))))
