@@ -14,7 +14,11 @@ from pyspark.sql import functions as F  # noqa: E402
 from graphloom.operators import bipartite, clean, nodes, relations  # noqa: E402
 from graphloom.operators.summary import graph_summary  # noqa: E402
 from graphloom.operators.topk import topk_neighbours  # noqa: E402
-from graphloom.plans.build_graph import all_relations, build_graph  # noqa: E402
+from graphloom.plans.build_graph import (  # noqa: E402
+    all_relations,
+    build_graph,
+    build_text_graph,
+)
 from graphloom.scratch import scratch_path  # noqa: E402
 from graphloom.sources import interactions as inter  # noqa: E402
 from graphloom.sources.csv import read_csv, write_csv  # noqa: E402
@@ -125,9 +129,18 @@ def _build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/summary").drop("dataset")
 
 
-def _union_relations(interactions: DataFrame) -> DataFrame:
-    built = all_relations(interactions)
-    return relations.union_relations({n: r.pairs for n, r in built.items()}, "a")
+def _build_text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text job; the edges it wrote."""
+    out = scratch_path(spark, "graph")
+    build_text_graph(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "t", out)
+    return read_edges(spark, f"{out}/edges", "t", "text_overlap")
+
+
+def _union_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = all_relations(inter.interactions_a(spark, sf_dir))
+    pairs = {name: relation.pairs for name, relation in built.items()}
+    pairs["text_overlap"] = relations.text_overlap(_table(spark, sf_dir, "documents"))
+    return relations.union_relations(pairs, "a")
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -189,13 +202,14 @@ def queries() -> dict[str, Query]:
         ),
         "topk_neighbours": _a(lambda a: topk_neighbours(relations.co_user(a))),
         "topk_neighbours_b": _b(lambda b: topk_neighbours(relations.co_user(b, DENSE))),
-        "union_relations": _a(_union_relations),
+        "union_relations": _union_relations,
         "node_features": _a(nodes.node_features),
         "node_features_b": _b(nodes.node_features),
         "node_labels": lambda spark, sf_dir: nodes.node_labels(
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
         "build_graph": _build_graph,
+        "build_text_graph": _build_text_graph,
     }
 
 
@@ -215,6 +229,15 @@ _DIRTY = """
            CAST(ceil(l_quantity / 10) + l_linenumber % 2 AS INTEGER) AS r
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
+_TEXT = """
+    WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS token
+               FROM documents),
+    k AS (SELECT * FROM t WHERE token IN (SELECT token FROM t WHERE token <> ''
+          GROUP BY token HAVING count(*) BETWEEN 2 AND 20))
+    SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS w
+    FROM k a JOIN k b USING (token) WHERE a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 3"""
+
 
 def _share_sql(source: str, keys: str, node: str, limit: int) -> str:
     return f"""
@@ -445,21 +468,17 @@ def oracle_sql() -> dict[str, str]:
         "rel_rating_7d_global": relations_a["rating_7d_global"],
         "rel_rating_7d_global_dense": _days_sql(_A, "r", DENSE),
         "rel_rating_7d_global_dense_hubs": _days_hubs_sql(_A, "r", DENSE),
-        "rel_text_overlap": """
-            WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS token
-                       FROM documents),
-            k AS (SELECT * FROM t WHERE token IN (SELECT token FROM t WHERE token <> ''
-                  GROUP BY token HAVING count(*) BETWEEN 2 AND 20))
-            SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS w
-            FROM k a JOIN k b USING (token) WHERE a.doc_id < b.doc_id
-            GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 3""",
+        "rel_text_overlap": _TEXT,
         "topk_neighbours": _topk_sql(_A),
         "topk_neighbours_b": _topk_sql(_B),
-        "union_relations": _edges_sql(_A, LIMIT),
+        "union_relations": f"""{_edges_sql(_A, LIMIT)} UNION ALL
+            SELECT 'a', 'text_overlap', src, dst, w FROM ({_TEXT})""",
         "node_features": _features_sql(_A),
         "node_features_b": _features_sql(_B),
         "node_labels": """
             SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l
             ON d.doc_id = l.doc_id""",
         "build_graph": _summary_sql(_B, DENSE),
+        "build_text_graph": f"""
+            SELECT 't' AS dataset, 'text_overlap' AS relation, src, dst, w FROM ({_TEXT})""",
     }

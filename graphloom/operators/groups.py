@@ -22,6 +22,9 @@ def split_groups(
     (below ``spark.sql.optimizer.windowGroupLimitThreshold``), so no task sees
     a hub whole.
     """
+    top = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if not 2 <= limit < top - 1:
+        raise ValueError(f"limit must be from 2 to {top - 2}, so that hubs are cut before the shuffle")
     member = F.col(members[0]) if len(members) == 1 else F.struct(*members)
     first = Window.partitionBy(*keys).orderBy(*members)
     groups = (

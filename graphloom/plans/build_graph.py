@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.bipartite import bipartite_edges
 from graphloom.operators.clean import accepted, dedupe_latest, reject_report
 from graphloom.operators.groups import HUB_LIMIT
-from graphloom.operators.nodes import node_features, node_index
+from graphloom.operators.nodes import node_features, node_index, node_labels
 from graphloom.operators.relations import (
     Relation,
     co_item,
@@ -19,6 +19,7 @@ from graphloom.operators.relations import (
     rating_within_days,
     same_month,
     same_rating,
+    text_overlap,
     union_hubs,
     union_relations,
 )
@@ -80,6 +81,15 @@ def build_graph(
     )
 
 
+def build_text_graph(documents: DataFrame, labels: DataFrame, dataset: str, out: str) -> None:
+    """Write the texts of a dataset with their labels, and the edges between alike texts."""
+    nodes = node_labels(documents, labels).withColumn("dataset", F.lit(dataset))
+    write_partitioned(nodes, f"{out}/texts", ["dataset"])
+    write_edges(
+        union_relations({"text_overlap": text_overlap(documents)}, dataset), f"{out}/edges"
+    )
+
+
 def main(source: str, csv_dir: str, out: str) -> None:
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     read = {"a": interactions_a_csv, "b": interactions_b_csv}[source]
