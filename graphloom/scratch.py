@@ -23,7 +23,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below one folder per application, which can go when the application ends."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/graphloom-{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
