@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from graphloom.functions import rating_from_quantity  # noqa: E402
 from graphloom.operators import bipartite, clean, nodes, relations  # noqa: E402
 from graphloom.operators.summary import graph_summary  # noqa: E402
 from graphloom.operators.topk import topk_neighbours  # noqa: E402
@@ -79,6 +80,21 @@ def _write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, schema, multiline=False).rows
 
 
+def _number_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source A with customers and parts known by name only, numbered."""
+    joined = (
+        _table(spark, sf_dir, "lineitem")
+        .join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    grade = rating_from_quantity(F.col("l_quantity"))
+    names = inter.canonical(
+        joined, "a", F.col("c_name"), F.col("p_name"), grade, F.col("o_orderdate"), "string"
+    )
+    return nodes.number_keys(names, nodes.node_index(names))
+
+
 def _reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.reject_report(inter.interactions_a(spark, sf_dir), "a").unionByName(
         clean.reject_report(inter.interactions_b(spark, sf_dir), "b")
@@ -168,6 +184,7 @@ def queries() -> dict[str, Query]:
         "dedupe_latest": _a(clean.dedupe_latest),
         "dedupe_latest_b": _b(clean.dedupe_latest),
         "node_index": _a(nodes.node_index),
+        "number_keys": _number_keys,
         "bipartite_edges": _a(edges),
         "bipartite_edges_b": _b(edges),
         "node_degrees": _a(lambda a: nodes.node_degrees(edges(a))),
@@ -423,6 +440,13 @@ def oracle_sql() -> dict[str, str]:
                        UNION SELECT DISTINCT 'item', i FROM ({_A}) s)
             SELECT 'a' AS dataset, ntype, key,
                    row_number() OVER (PARTITION BY ntype ORDER BY key) - 1 AS nid FROM k""",
+        "number_keys": """
+            SELECT 'a' AS dataset, dense_rank() OVER (ORDER BY c_name) - 1 AS u,
+                   dense_rank() OVER (ORDER BY p_name) - 1 AS i,
+                   CAST(ceil(l_quantity / 10) AS INTEGER) AS r,
+                   CAST(o_orderdate AS TIMESTAMP) AS ts
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+            JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
         "bipartite_edges": _bipartite_sql(_A),
         "bipartite_edges_b": _bipartite_sql(_B),
         "node_degrees": f"""

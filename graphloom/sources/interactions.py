@@ -1,6 +1,6 @@
 """Adapters to the canonical table ``dataset, u, i, r, ts``."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import rating_from_quantity
@@ -21,12 +21,18 @@ EVENTS = """
 """
 
 
-def canonical(df: DataFrame, dataset: str, u, i, r, ts) -> DataFrame:
-    """Any table with a user, an item, a grade and a time, as interactions."""
+def canonical(
+    df: DataFrame, dataset: str, u: Column, i: Column, r: Column, ts: Column, key: str = "bigint"
+) -> DataFrame:
+    """Any table with a user, an item, a grade and a time, as interactions.
+
+    Where the keys are text, give ``key="string"`` and follow with
+    ``operators.nodes.number_keys``.
+    """
     return df.select(
         F.lit(dataset).alias("dataset"),
-        u.cast("bigint").alias("u"),
-        i.cast("bigint").alias("i"),
+        u.cast(key).alias("u"),
+        i.cast(key).alias("i"),
         r.cast("int").alias("r"),
         ts.cast("timestamp_ntz").alias("ts"),
     )
