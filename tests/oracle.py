@@ -26,7 +26,7 @@ def _sorted(table: pa.Table) -> tuple[dict[str, str], pd.DataFrame]:
 def difference(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """What differs, or None. Column order and row order do not count."""
     got_types, got = _sorted(spark_df.toArrow())
-    want_types, want = _sorted(con.execute(sql).to_arrow_table())
+    want_types, want = _sorted(con.sql(sql).to_arrow_table())
     if got_types != want_types:
         return f"types {got_types} != {want_types}"
     if len(got) != len(want):

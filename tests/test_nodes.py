@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators.bipartite import bipartite_edges, k_core, min_degree
 from graphloom.operators.clean import accepted, dedupe_latest, reject_report
-from graphloom.operators.nodes import node_features, node_index
+from graphloom.operators.nodes import node_features, node_index, number_keys
 from graphloom.sources.interactions import interactions_a
 from tests.conftest import SMALL, TINY, frame, visits
 
@@ -47,6 +48,17 @@ def test_index_is_dense_and_ordered(spark):
         assert len({k for k, _ in rows}) == len(rows)
 
 
+def test_text_keys_are_numbered(spark):
+    df = frame(spark, visits(6)).withColumns({"u": F.concat(F.lit("U"), "u"), "i": F.concat(F.lit("I"), "i")})
+    index = node_index(df)
+    numbered = number_keys(df, index)
+    assert numbered.count() == df.count()
+    back = {(r.ntype, r.nid): r.key for r in index.collect()}
+    want = sorted(map(str, df.select("u", "i", "r", "ts").collect()))
+    rows = [(back["user", r.u], back["item", r.i], r.r, r.ts) for r in numbered.collect()]
+    assert sorted(map(str, spark.createDataFrame(rows, df.drop("dataset").schema).collect())) == want
+
+
 def test_each_row_has_one_reason(spark):
     df = frame(spark, visits(7) + visits(7)[:5] + BAD)
     report = {r.reason: r.n for r in reject_report(df, "t").collect()}

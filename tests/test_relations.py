@@ -66,6 +66,11 @@ def test_no_group_above_the_limit_is_paired(spark):
     assert sizes and min(sizes.values()) > 20
 
 
+def test_the_limit_must_let_spark_cut_hubs_early(spark):
+    with pytest.raises(ValueError):
+        co_user(frame(spark, visits(1)), 999)
+
+
 def test_tokens_by_brute_force(spark):
     texts = [
         (0, "Red green  blue sun"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from graphloom.operators.relations import co_user, rating_within_days, same_rating
@@ -24,6 +26,17 @@ def test_the_hub_limit_does_not_change_the_ranking(spark, limit):
     assert got == brute_force(shared([(i, u) for u, i, r, ts in rows]), 5)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_random_tables(spark, seed):
+    rng = random.Random(seed)
+    users, items, share = rng.choice([15, 40, 70]), rng.choice([5, 12, 30]), rng.choice([0.1, 0.3, 0.6])
+    rows = [(u, i, 1, None) for u in range(users) for i in range(items) if rng.random() < share]
+    weight = shared([(i, u) for u, i, r, ts in rows])
+    for k, limit in ((1, 2), (3, rng.choice([3, 6, 10, 15]))):
+        got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), limit), k).collect()}
+        assert got == brute_force(weight, k)
+
+
 def test_one_hub_holds_everybody(spark):
     rows = [(u, 0, 1, None) for u in range(50)] + [(u, u % 7 + 1, 1, None) for u in range(0, 50, 3)]
     got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), 10), 3).collect()}
