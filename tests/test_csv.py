@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from graphloom.operators.clean import reject_report
 from graphloom.sources.csv import read_csv, write_csv
 from graphloom.sources.interactions import interactions_b_csv
@@ -49,6 +51,13 @@ def test_bad_rows_are_kept_apart(spark, tmp_path):
     assert table.bad.count() == 3
 
 
+def test_another_header_is_an_error(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_csv(spark, str(path), "a bigint, b bigint").rows.collect()
+
+
 def test_bad_rows_reach_the_report(spark, tmp_path):
     folder = tmp_path / "events"
     folder.mkdir()
