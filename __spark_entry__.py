@@ -25,6 +25,12 @@ from graphloom.sources import interactions as inter  # noqa: E402
 from graphloom.sources.csv import read_csv, write_csv  # noqa: E402
 from graphloom.sources.store import read_edges, write_edges  # noqa: E402
 
+try:  # the corpus operators may be left out of an installation
+    import corpus_pipeline
+    from graphloom.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 LIMIT = 256  # the default hub limit
 DENSE = 64  # for dense source B: some of its items are hubs, some are not
 CORE = 20
@@ -165,6 +171,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _graph_queries() | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
+
+
+def _graph_queries() -> dict[str, Query]:
     edges = bipartite.bipartite_edges
     return {
         "read_csv_strict": _csv_back("documents", DOCUMENTS),
@@ -419,6 +429,10 @@ def _reject_sql(source: str, dataset: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _graph_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _graph_sql() -> dict[str, str]:
     relations_a = _relations_sql(_A, LIMIT)
     return {
         "read_csv_strict": "SELECT doc_id, text, lang, source, n_chars FROM documents",
