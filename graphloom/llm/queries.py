@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, exact_dedup, minhash, packing, quality, toxicity
+from graphloom.llm import (
+    decontaminate,
+    exact_dedup,
+    langid,
+    line_dedup,
+    minhash,
+    packing,
+    pii,
+    quality,
+    toxicity,
+    wavelet,
+)
 from graphloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+KEY = "surrogates-1"  # of the registered query; a real run brings a secret one
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +32,10 @@ def tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,21 +54,37 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6(table(spark, sf_dir, "documents"), KEY)
+
+
+def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.op7(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_quality": op2_quality,
         "op3_decontaminate": op3_decontaminate,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_packing": op5_packing,
+        "op6_pii": op6_pii,
+        "op7_wavelet": op7_wavelet,
         "op8_toxicity": op8_toxicity,
+        "op9_langid": op9_langid,
         "op10_minhash": op10_minhash,
     }
 
