@@ -171,11 +171,21 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                     pa.array([wide_signature(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([smallest(s, SYMBOLS).tobytes() for s in sets], pa.binary()),
                 ],
-                ["id", "n", "shingles", "wide"],
+                ["id", "n", "shingles", "wide", "least"],
             )
 
 
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each hash function of a document: the function and its smallest hash, in one number."""
+    number = np.arange(SYMBOLS, dtype=np.int64) << 32
+    for batch in batches:
+        least = np.frombuffer(b"".join(batch["least"].to_pylist()), np.uint32).reshape(-1, SYMBOLS)
+        ids = np.repeat(batch["id"].to_numpy(zero_copy_only=False), SYMBOLS)
+        yield pa.RecordBatch.from_arrays([pa.array((least + number).ravel()), pa.array(ids)], ["spot", "id"])
+
+
 @F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [
@@ -220,20 +230,30 @@ def _confirm(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return materialize(both.filter(_confirmed("set_a", "set_b")).select("a", "b"), label)
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """Members, with the size of the key, of those keys that hold several components."""
+    keys = labelled.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n_key")
+    )
+    return labelled.join(keys.filter("low < high").select("key", "n_key"), "key")
+
+
 def _residual(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different components that may be linked, from keys of many members.
 
+    A document of which more than ``RADIUS`` smallest hashes are those of no other document here has no
+    partner within ``RADIUS`` left, and goes first: most meet by a passage that many texts share.
+
     The home of a document is the largest of its keys; a home is parted into blocks of about
     ``BLOCK`` documents. Each two blocks that share a key are one tile.
     """
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_keys = (
-        labelled.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n_key"))
-        .filter("low < high")
-        .select("key", "n_key")
-    )
-    left = materialize(labelled.join(open_keys, "key"), "open-members")
+    held = materialize(_open(labelled).select("key", "id", "label"), "held-members")
+    ids = held.select("id").distinct()
+    spots = sets.join(ids, "id", "left_semi").select("id", "least").mapInArrow(_spots, "spot bigint, id bigint")
+    alone = spots.groupBy("spot").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last")
+    lost = alone.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > RADIUS)
+    left = materialize(_open(held.join(lost, "id", "left_anti")), "open-members")
     homes = left.groupBy("id").agg(F.max(F.struct("n_key", "key"))["key"].alias("home"), F.min("label").alias("label"))
     homes = materialize(homes, "homes")
     parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
@@ -301,7 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     involved = materialize(involved, "involved")
     wanted = checked_broadcast(involved, involved.count(), BROADCAST_ROWS)
     texts = clean.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-    sets = texts.mapInArrow(_full, "id bigint, n bigint, shingles binary, wide binary")
+    sets = texts.mapInArrow(_full, "id bigint, n bigint, shingles binary, wide binary, least binary")
     sets = materialize(sets, "sets")
     links = _confirm(near, sets, "star-links")
     labels = components(links)
