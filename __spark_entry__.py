@@ -20,10 +20,10 @@ from graphloom.plans.build_graph import (  # noqa: E402
     build_graph,
     build_text_graph,
 )
-from graphloom.scratch import scratch_path  # noqa: E402
+from graphloom.scratch import materialize, scratch_path  # noqa: E402
 from graphloom.sources import interactions as inter  # noqa: E402
 from graphloom.sources.csv import read_csv, write_csv  # noqa: E402
-from graphloom.sources.store import read_edges, write_edges  # noqa: E402
+from graphloom.sources.store import Run, read_relation, read_table  # noqa: E402
 
 try:  # the corpus operators may be left out of an installation
     import corpus_pipeline
@@ -31,8 +31,7 @@ try:  # the corpus operators may be left out of an installation
 except ImportError:
     corpus_pipeline = llm = None
 
-LIMIT = 256  # the default hub limit
-DENSE = 64  # for dense source B: some of its items are hubs, some are not
+SPARSE = ("co_user", "co_item", "same_rating", "same_month", "rating_7d")
 CORE = 20
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PAGES = "page_id bigint, url string, html string"
@@ -86,21 +85,29 @@ def _write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, schema, multiline=False).rows
 
 
-def _number_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source A with customers and parts known by name only, numbered."""
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source A with customers and parts known by name only."""
     joined = (
         _table(spark, sf_dir, "lineitem")
         .join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .withColumn("grade", rating_from_quantity(F.col("l_quantity")))
     )
-    grade = rating_from_quantity(F.col("l_quantity"))
-    names = inter.canonical(
-        joined, "a", F.col("c_name"), F.col("p_name"), grade, F.col("o_orderdate"), "string"
-    )
+    columns = {"u": "c_name", "i": "p_name", "r": "grade", "ts": "o_orderdate"}
+    return inter.from_columns(joined, "a", columns)
+
+
+def _number_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _named(spark, sf_dir)
     return nodes.number_keys(names, nodes.node_index(names))
 
 
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources in one table."""
+    return inter.interactions_a(spark, sf_dir).unionByName(inter.interactions_b(spark, sf_dir))
+
+
 def _reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.reject_report(inter.interactions_a(spark, sf_dir), "a").unionByName(
         clean.reject_report(inter.interactions_b(spark, sf_dir), "b")
@@ -125,44 +132,69 @@ def _reject_report_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = inter.interactions_a(spark, sf_dir)
-    path = scratch_path(spark, "store")
-    parts = {
-        "same_month": relations.same_month(a).pairs,
-        "rating_7d": relations.rating_within_days(a).pairs,
-    }
-    write_edges(relations.union_relations(parts, "a"), path)
-    return read_edges(spark, path, "a", "same_month")
+    out = scratch_path(spark, "store")
+    run = Run(spark, out, "a")
+    parts = {"same_month": relations.same_month(a), "rating_7d": relations.rating_within_days(a)}
+    run.write(relations.union_members(parts), "members", ["relation"])
+    run.finish()
+    return read_relation(spark, out, "members", "a", "same_month")
 
 
-def _summary(interactions: DataFrame, dataset: str, limit: int) -> DataFrame:
-    built = all_relations(interactions, limit)
-    edges = relations.union_relations({n: r.pairs for n, r in built.items()}, dataset)
-    hubs = relations.union_hubs(built, dataset)
-    return graph_summary(
-        interactions, bipartite.bipartite_edges(interactions), edges, hubs, list(built)
-    )
+def _members(interactions: DataFrame) -> DataFrame:
+    return relations.union_members(all_relations(interactions))
+
+
+def _summary(interactions: DataFrame) -> DataFrame:
+    built = all_relations(interactions)
+    members = materialize(relations.union_members(built), "members")
+    return graph_summary(interactions, bipartite.bipartite_edges(interactions), members, list(built))
 
 
 def _build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job on CSV files; the summary it wrote."""
+    """The whole job on the CSV files of source B; the summary it wrote."""
     table = inter.interactions_b_csv(spark, _csv_copy(spark, sf_dir, "events"))
     out = scratch_path(spark, "graph")
-    build_graph(table.rows, "b", out, table.bad, DENSE)
-    return spark.read.parquet(f"{out}/summary").drop("dataset")
+    build_graph(table.rows, "b", out, table.bad)
+    return read_table(spark, out, "summary", "b")
+
+
+def _build_graph_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on the CSV files of source A, with pairs; the edges it wrote, as raw keys."""
+    table = inter.interactions_a_csv(spark, _csv_copy(spark, sf_dir, "orders", "lineitem"))
+    out = scratch_path(spark, "graph")
+    build_graph(table.rows, "a", out, table.bad, SPARSE)
+    edges, index = read_table(spark, out, "edges", "a"), read_table(spark, out, "nodes", "a")
+    ntype = F.when(F.col("relation") == "co_item", "item").otherwise("user")
+    for end in ("src", "dst"):
+        names = index.select(F.col("ntype").alias("t"), F.col("nid").alias(end), F.col("key").alias(f"{end}_key"))
+        edges = edges.withColumn("t", ntype).join(names, ["t", end])
+    # ids rank the keys, so the smaller end stays the smaller one
+    return edges.select("dataset", "relation", F.col("src_key").alias("src"), F.col("dst_key").alias("dst"), "w")
+
+
+def _build_graph_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on keys that are text; the user-item edges it wrote, in ids."""
+    out = scratch_path(spark, "graph")
+    build_graph(_named(spark, sf_dir), "a", out)
+    return read_table(spark, out, "bipartite", "a")
 
 
 def _build_text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text job; the edges it wrote."""
     out = scratch_path(spark, "graph")
     build_text_graph(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "t", out)
-    return read_edges(spark, f"{out}/edges", "t", "text_overlap")
+    return read_table(spark, out, "edges", "t").select("dataset", "relation", "src", "dst", "w")
+
+
+def _text(spark: SparkSession, sf_dir: str) -> relations.TextOverlap:
+    return relations.text_overlap(_table(spark, sf_dir, "documents"))
 
 
 def _union_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = all_relations(inter.interactions_a(spark, sf_dir))
-    pairs = {name: relation.pairs for name, relation in built.items()}
-    pairs["text_overlap"] = relations.text_overlap(_table(spark, sf_dir, "documents"))
-    return relations.union_relations(pairs, "a")
+    found = {name: relations.pairs(built[name]) for name in SPARSE}
+    found["text_overlap"] = _text(spark, sf_dir).pairs.select(F.lit("a").alias("dataset"), "*")
+    return relations.union_pairs(found)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -202,33 +234,28 @@ def _graph_queries() -> dict[str, Query]:
         "min_degree_edges": _a(lambda a: bipartite.min_degree(edges(a), 30)),
         "k_core": _a(lambda a: bipartite.k_core(edges(a), CORE)),
         "graph_store": _graph_store,
-        "graph_summary": _a(lambda a: _summary(a, "a", LIMIT)),
-        "graph_summary_b": _b(lambda b: _summary(b, "b", DENSE)),
-        "rel_co_user": _a(lambda a: relations.co_user(a).pairs),
-        "rel_co_user_b": _b(lambda b: relations.co_user(b, DENSE).pairs),
-        "rel_co_user_b_hubs": _b(lambda b: relations.co_user(b, DENSE).hubs),
-        "rel_co_item": _a(lambda a: relations.co_item(a).pairs),
-        "rel_co_item_b": _b(lambda b: relations.co_item(b, DENSE).pairs),
-        "rel_co_item_b_hubs": _b(lambda b: relations.co_item(b, DENSE).hubs),
-        "rel_same_rating": _a(lambda a: relations.same_rating(a).pairs),
-        "rel_same_month": _a(lambda a: relations.same_month(a).pairs),
-        "rel_same_month_b": _b(lambda b: relations.same_month(b, DENSE).pairs),
-        "rel_same_month_b_hubs": _b(lambda b: relations.same_month(b, DENSE).hubs),
-        "rel_rating_7d": _a(lambda a: relations.rating_within_days(a).pairs),
+        "graph_summary": _a(_summary),
+        "graph_summary_b": _b(_summary),
+        "graph_summary_ab": lambda spark, sf_dir: _summary(_both(spark, sf_dir)),
+        "members_a": _a(_members),
+        "members_b": _b(_members),
+        "members_ab": lambda spark, sf_dir: _members(_both(spark, sf_dir)),
+        "dedupe_latest_ab": lambda spark, sf_dir: clean.dedupe_latest(_both(spark, sf_dir)),
+        "rel_co_user": _a(lambda a: relations.pairs(relations.co_user(a))),
+        "rel_co_user_b": _b(lambda b: relations.co_user(b).members),
+        "rel_co_item": _a(lambda a: relations.pairs(relations.co_item(a))),
+        "rel_co_item_b": _b(lambda b: relations.co_item(b).members),
+        "rel_same_rating": _a(lambda a: relations.pairs(relations.same_rating(a))),
+        "rel_same_month": _a(lambda a: relations.pairs(relations.same_month(a))),
+        "rel_same_month_b": _b(lambda b: relations.same_month(b).members),
+        "rel_rating_7d": _a(lambda a: relations.pairs(relations.rating_within_days(a))),
         "rel_rating_7d_global": _a(
-            lambda a: relations.rating_within_days(a, same_item=False).pairs
-        ),
-        "rel_rating_7d_global_dense": _a(
-            lambda a: relations.rating_within_days(a, same_item=False, hub_limit=DENSE).pairs
-        ),
-        "rel_rating_7d_global_dense_hubs": _a(
-            lambda a: relations.rating_within_days(a, same_item=False, hub_limit=DENSE).hubs
-        ),
-        "rel_text_overlap": lambda spark, sf_dir: relations.text_overlap(
-            _table(spark, sf_dir, "documents")
+            lambda a: relations.rating_within_days(a, same_item=False).members
         ),
+        "rel_text_overlap": lambda spark, sf_dir: _text(spark, sf_dir).pairs,
+        "text_classes": lambda spark, sf_dir: _text(spark, sf_dir).classes,
         "topk_neighbours": _a(lambda a: topk_neighbours(relations.co_user(a))),
-        "topk_neighbours_b": _b(lambda b: topk_neighbours(relations.co_user(b, DENSE))),
+        "topk_neighbours_b": _b(lambda b: topk_neighbours(relations.co_user(b), hub=64)),
         "union_relations": _union_relations,
         "node_features": _a(nodes.node_features),
         "node_features_b": _b(nodes.node_features),
@@ -236,6 +263,8 @@ def _graph_queries() -> dict[str, Query]:
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
         "build_graph": _build_graph,
+        "build_graph_a": _build_graph_a,
+        "build_graph_text_keys": _build_graph_text_keys,
         "build_text_graph": _build_text_graph,
     }
 
@@ -251,147 +280,144 @@ _B = """
            CAST(NULL AS INTEGER) AS r, CAST(ts AS TIMESTAMP) AS ts
     FROM events"""
 
+_AB = f"{_A} UNION ALL {_B}"
+
+_NAMED = """
+    SELECT 'a' AS dataset, dense_rank() OVER (ORDER BY c_name) - 1 AS u,
+           dense_rank() OVER (ORDER BY p_name) - 1 AS i,
+           CAST(ceil(l_quantity / 10) AS INTEGER) AS r, CAST(o_orderdate AS TIMESTAMP) AS ts
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey"""
+
 _DIRTY = """
     SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS u, l_partkey AS i,
            CAST(ceil(l_quantity / 10) + l_linenumber % 2 AS INTEGER) AS r
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
-_TEXT = """
-    WITH t AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS token
-               FROM documents),
-    k AS (SELECT * FROM t WHERE token IN (SELECT token FROM t WHERE token <> ''
-          GROUP BY token HAVING count(*) BETWEEN 2 AND 20))
-    SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS w
-    FROM k a JOIN k b USING (token) WHERE a.doc_id < b.doc_id
-    GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 3"""
+_CLASSES = """
+    SELECT doc_id, tokens, min(doc_id) OVER (PARTITION BY tokens) AS class_id FROM (
+        SELECT doc_id, list_sort(list_distinct(list_filter(
+                   string_split(lower(text), ' '), lambda t: t <> ''))) AS tokens FROM documents)
+    WHERE len(tokens) > 0"""
 
+_TEXT = f"""
+    WITH c AS (SELECT DISTINCT class_id AS id, tokens FROM ({_CLASSES})),
+    t AS (SELECT id, len(tokens) AS n, unnest(tokens) AS token FROM c)
+    SELECT a.id AS src, b.id AS dst, count(*) AS w
+    FROM t a JOIN t b ON a.token = b.token AND a.id < b.id
+    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 50"""
 
-def _share_sql(source: str, keys: str, node: str, limit: int) -> str:
-    return f"""
-    WITH x AS (SELECT DISTINCT {keys}, {node} AS node FROM ({source}) s
-               WHERE ({keys}, {node}) IS NOT NULL),
-    x2 AS (SELECT * FROM x WHERE ({keys}) NOT IN
-               (SELECT ({keys}) FROM x GROUP BY {keys} HAVING count(*) > {limit}))
-    SELECT p.node AS src, q.node AS dst, count(*) AS w
-    FROM x2 p JOIN x2 q USING ({keys}) WHERE p.node < q.node GROUP BY p.node, q.node"""
+
+def _members_sql(source: str, columns: str) -> str:
+    """Distinct rows of the columns, without nulls."""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns.split(", "))
+    return f"SELECT DISTINCT {columns} FROM ({source}) s WHERE {known}"
 
 
-def _hubs_sql(source: str, keys: str, node: str, limit: int) -> str:
+def _share_sql(source: str, keys: str, node: str) -> str:
+    both = f"dataset, {keys}"
     return f"""
-    WITH x AS (SELECT DISTINCT {keys}, {node} FROM ({source}) s)
-    SELECT {keys}, {node} FROM x JOIN
-        (SELECT {keys} FROM x GROUP BY {keys} HAVING count(*) > {limit}) USING ({keys})"""
+    WITH x AS ({_members_sql(source, f"{both}, {node}")})
+    SELECT dataset, p.{node} AS src, q.{node} AS dst, count(*) AS w
+    FROM x p JOIN x q USING ({both}) WHERE p.{node} < q.{node} GROUP BY dataset, p.{node}, q.{node}"""
 
 
 def _with_month(source: str) -> str:
     return f"""
-    SELECT u, i, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS month FROM ({source}) t"""
+    SELECT dataset, u, i, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS month FROM ({source}) t"""
 
 
-def _days_sql(source: str, keys: str, limit: int) -> str:
-    """Straight from the rule; a pair is left to a hub by the block of its later day."""
+def _with_day(source: str) -> str:
     return f"""
-    WITH x AS (SELECT DISTINCT {keys}, u, date_diff('day', TIMESTAMP '1970-01-01', ts) AS day
-               FROM ({source}) s WHERE r IS NOT NULL),
-    m AS (SELECT {keys}, floor(day / 7) AS block FROM x
-          UNION ALL SELECT {keys}, floor(day / 7) + 1 FROM x),
-    big AS (SELECT {keys}, block FROM m GROUP BY {keys}, block HAVING count(*) > {limit}),
-    p AS (SELECT {keys}, a.u AS src, b.u AS dst, floor(greatest(a.day, b.day) / 7) AS block
-          FROM x a JOIN x b USING ({keys})
-          WHERE a.u < b.u AND b.day BETWEEN a.day - 7 AND a.day + 7)
-    SELECT DISTINCT src, dst, CAST(1 AS BIGINT) AS w
-    FROM p LEFT JOIN (SELECT *, true AS hub FROM big) USING ({keys}, block) WHERE hub IS NULL"""
-
-
-def _days_hubs_sql(source: str, keys: str, limit: int) -> str:
+    SELECT dataset, u, i, r, CAST(date_diff('day', TIMESTAMP '1970-01-01', ts) AS INTEGER) AS day
+    FROM ({source}) t"""
+
+
+def _days_sql(source: str, keys: str) -> str:
     return f"""
-    WITH x AS (SELECT DISTINCT {keys}, u,
-                      CAST(date_diff('day', TIMESTAMP '1970-01-01', ts) AS INTEGER) AS day
-               FROM ({source}) s WHERE r IS NOT NULL),
-    m AS (SELECT {keys}, CAST(floor(day / 7) AS INTEGER) AS block, u, day FROM x
-          UNION ALL SELECT {keys}, CAST(floor(day / 7) + 1 AS INTEGER), u, day FROM x)
-    SELECT {keys}, block, u, day FROM m JOIN
-        (SELECT {keys}, block FROM m GROUP BY {keys}, block HAVING count(*) > {limit})
-        USING ({keys}, block)"""
+    WITH x AS ({_members_sql(_with_day(source), f"dataset, {keys}, u, day")})
+    SELECT DISTINCT dataset, a.u AS src, b.u AS dst, CAST(1 AS BIGINT) AS w
+    FROM x a JOIN x b USING (dataset, {keys})
+    WHERE a.u < b.u AND b.day BETWEEN a.day - 7 AND a.day + 7"""
 
 
 def _topk_sql(source: str) -> str:
-    """From all shared items at once: what the ranking says does not depend on a hub limit."""
     return f"""
-    WITH x AS (SELECT DISTINCT u, i FROM ({source}) s),
-    p AS (SELECT a.u AS node, b.u AS neighbour, count(*) AS w
-          FROM x a JOIN x b USING (i) WHERE a.u <> b.u GROUP BY a.u, b.u)
+    WITH x AS (SELECT DISTINCT dataset, u, i FROM ({source}) s),
+    p AS (SELECT dataset, a.u AS node, b.u AS neighbour, count(*) AS w
+          FROM x a JOIN x b USING (dataset, i) WHERE a.u <> b.u GROUP BY dataset, a.u, b.u)
     SELECT * FROM (
-        SELECT node, CAST(row_number() OVER (PARTITION BY node ORDER BY w DESC, neighbour)
-                          AS INTEGER) AS rank, neighbour, w FROM p) WHERE rank <= 5"""
+        SELECT dataset, node, CAST(row_number() OVER (
+                   PARTITION BY dataset, node ORDER BY w DESC, neighbour) AS INTEGER) AS rank,
+               neighbour, w FROM p) WHERE rank <= 5"""
 
 
-def _relations_sql(source: str, limit: int) -> dict[str, str]:
+def _pairs_sql(source: str) -> dict[str, str]:
+    """The sparse relations as pairs; grades are those of the last row of a user and item."""
+    last = _dedupe_sql(source)
     return {
-        "co_user": _share_sql(source, "i", "u", limit),
-        "co_item": _share_sql(source, "u", "i", limit),
-        "same_rating": _share_sql(source, "i, r", "u", limit),
-        "same_month": _share_sql(_with_month(source), "i, month", "u", limit),
-        "rating_7d": _days_sql(source, "i, r", limit),
-        "rating_7d_global": _days_sql(source, "r", limit),
+        "co_user": _share_sql(source, "i", "u"),
+        "co_item": _share_sql(source, "u", "i"),
+        "same_rating": _share_sql(last, "i, r", "u"),
+        "same_month": _share_sql(_with_month(source), "i, month", "u"),
+        "rating_7d": _days_sql(last, "i, r"),
     }
 
 
-def _all_hubs_sql(source: str, limit: int) -> str:
-    parts = {
-        "co_user": _hubs_sql(source, "i", "u", limit),
-        "co_item": _hubs_sql(source, "u", "i", limit),
-        "same_rating": _hubs_sql(f"SELECT * FROM ({source}) WHERE r IS NOT NULL", "i, r", "u", limit),
-        "same_month": _hubs_sql(_with_month(source), "i, month", "u", limit),
-        "rating_7d": _days_hubs_sql(source, "i, r", limit),
-        "rating_7d_global": _days_hubs_sql(source, "r", limit),
-    }
-    node = {"co_item": "i"}
+def _edges_sql(source: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS relation, {node.get(name, 'u')} AS node FROM ({sql})"
-        for name, sql in parts.items()
+        f"SELECT dataset, '{name}' AS relation, src, dst, w FROM ({sql})"
+        for name, sql in _pairs_sql(source).items()
     )
 
 
-def _edges_sql(source: str, limit: int) -> str:
+RELATIONS = ("co_user", "co_item", "same_rating", "same_month", "rating_7d", "rating_7d_global")
+
+
+def _all_members_sql(source: str) -> str:
+    last, month = _dedupe_sql(source), _with_month(source)
+    none = "CAST(NULL AS INTEGER)"
+    parts = [
+        ("co_user", "CAST(i AS VARCHAR)", "u", none, _members_sql(source, "dataset, i, u")),
+        ("co_item", "CAST(u AS VARCHAR)", "i", none, _members_sql(source, "dataset, u, i")),
+        ("same_rating", "concat(i, ':', r)", "u", none, _members_sql(last, "dataset, i, r, u")),
+        ("same_month", "concat(i, ':', month)", "u", none, _members_sql(month, "dataset, i, month, u")),
+        ("rating_7d", "concat(i, ':', r)", "u", "day", _members_sql(_with_day(last), "dataset, i, r, u, day")),
+        ("rating_7d_global", "CAST(r AS VARCHAR)", "u", "day", _members_sql(_with_day(last), "dataset, r, u, day")),
+    ]
     return " UNION ALL ".join(
-        f"SELECT 'a' AS dataset, '{name}' AS relation, src, dst, w FROM ({sql})"
-        for name, sql in _relations_sql(source, limit).items()
+        f"SELECT dataset, '{name}' AS relation, {key} AS key, {node} AS node, {day} AS day FROM ({sql})"
+        for name, key, node, day, sql in parts
     )
 
 
-def _summary_sql(source: str, limit: int) -> str:
-    names = ", ".join(f"('{name}')" for name in _relations_sql(source, limit))
+def _summary_sql(source: str) -> str:
+    names = ", ".join(f"('{name}')" for name in RELATIONS)
     return f"""
     WITH s AS MATERIALIZED ({source}),
-    e AS MATERIALIZED ({_edges_sql("SELECT * FROM s", limit)}),
-    h AS MATERIALIZED ({_all_hubs_sql("SELECT * FROM s", limit)}),
-    b AS (SELECT DISTINCT u, i FROM s),
-    n AS (SELECT count(DISTINCT u) AS users, count(DISTINCT i) AS items FROM s),
-    ends AS (
-        SELECT relation, 'n' AS side, src AS node, 1 AS pair, 0 AS hub FROM e
-        UNION ALL SELECT relation, 'n', dst, 1, 0 FROM e
-        UNION ALL SELECT relation, 'n', node, 0, 1 FROM h
-        UNION ALL SELECT 'bipartite_edges', 'u', u, 1, 0 FROM b
-        UNION ALL SELECT 'bipartite_edges', 'i', i, 1, 0 FROM b),
-    d AS (SELECT relation, side, node, sum(pair) AS degree, sum(hub) AS hubs
-          FROM ends GROUP BY relation, side, node),
-    t AS (SELECT relation, count(*) AS touched, sum(degree) / 2 AS edges,
-                 max(degree) AS max_degree, sum(hubs) AS hub_members FROM d GROUP BY relation),
-    r AS (SELECT col0 AS relation,
-                 CASE col0 WHEN 'co_item' THEN items ELSE users END AS nodes,
+    o AS MATERIALIZED (SELECT DISTINCT dataset, relation, key, node
+                       FROM ({_all_members_sql("SELECT * FROM s")}) m),
+    z AS (SELECT dataset, relation, key, count(*) AS d FROM o GROUP BY ALL),
+    b AS (SELECT DISTINCT dataset, u, i FROM s),
+    bi AS (SELECT dataset, i, count(*) AS d FROM b GROUP BY ALL),
+    n AS (SELECT dataset, count(DISTINCT u) AS users, count(DISTINCT i) AS items FROM s GROUP BY ALL),
+    t AS (SELECT dataset, relation, count(DISTINCT node) AS touched FROM o
+          JOIN z USING (dataset, relation, key) WHERE d > 1 GROUP BY ALL),
+    st AS (SELECT dataset, relation, count(*) AS keys, sum(d) AS members, max(d) AS largest,
+                  sum(d * (d - 1) // 2) AS pairs FROM z GROUP BY ALL
+           UNION ALL SELECT dataset, 'bipartite_edges', count(*), sum(d), max(d), sum(d) FROM bi GROUP BY ALL),
+    r AS (SELECT dataset, col0 AS relation, CASE col0 WHEN 'co_item' THEN items ELSE users END AS nodes,
                  CASE col0 WHEN 'co_item' THEN items * (items - 1) / 2
-                           ELSE users * (users - 1) / 2 END AS possible
+                           ELSE users * (users - 1) / 2 END AS possible, 0 AS all_touched
           FROM (VALUES {names}), n
-          UNION ALL SELECT 'bipartite_edges', users + items, users * items FROM n)
-    SELECT relation, nodes, CAST(coalesce(touched, 0) AS BIGINT) AS touched,
-           CAST(nodes - coalesce(touched, 0) AS BIGINT) AS isolated,
-           CAST(coalesce(edges, 0) AS BIGINT) AS edges,
-           CAST(coalesce(max_degree, 0) AS BIGINT) AS max_degree,
-           CAST(coalesce(hub_members, 0) AS BIGINT) AS hub_members,
-           CASE WHEN possible > 0 AND coalesce(hub_members, 0) = 0
-                THEN round(CAST(coalesce(edges, 0) AS DOUBLE) / possible, 9) END AS density
-    FROM r LEFT JOIN t USING (relation)"""
+          UNION ALL SELECT dataset, 'bipartite_edges', users + items, users * items, users + items FROM n)
+    SELECT dataset, relation, nodes, CAST(coalesce(touched, all_touched) AS BIGINT) AS touched,
+           CAST(nodes - coalesce(touched, all_touched) AS BIGINT) AS isolated,
+           CAST(coalesce(keys, 0) AS BIGINT) AS keys, CAST(coalesce(members, 0) AS BIGINT) AS members,
+           CAST(coalesce(largest, 0) AS BIGINT) AS largest, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs,
+           CASE WHEN possible > 0 THEN round(CAST(coalesce(pairs, 0) AS DOUBLE) / possible, 9)
+                ELSE 0.0::DOUBLE END AS density
+    FROM r LEFT JOIN st USING (dataset, relation) LEFT JOIN t USING (dataset, relation)"""
 
 
 def _features_sql(source: str) -> str:
@@ -412,19 +438,19 @@ def _bipartite_sql(source: str) -> str:
 def _dedupe_sql(source: str) -> str:
     return f"""
     SELECT dataset, u, i, r, ts FROM (
-        SELECT *, row_number() OVER (PARTITION BY u, i ORDER BY ts DESC, r DESC NULLS LAST) AS n
+        SELECT *, row_number() OVER (PARTITION BY dataset, u, i ORDER BY ts DESC, r DESC NULLS LAST) AS n
         FROM ({source}) s) WHERE n = 1"""
 
 
 def _reject_sql(source: str, dataset: str) -> str:
     return f"""
     SELECT '{dataset}' AS dataset, x.reason, count(y.reason) AS n
-    FROM (VALUES ('null_key'), ('bad_rating'), ('duplicate')) x(reason) LEFT JOIN (
+    FROM (VALUES ('null_key'), ('bad_rating'), ('superseded')) x(reason) LEFT JOIN (
         SELECT CASE WHEN u IS NULL OR i IS NULL THEN 'null_key'
                     WHEN r NOT BETWEEN 1 AND 5 THEN 'bad_rating'
                     WHEN row_number() OVER (
                         PARTITION BY u, i, coalesce(r BETWEEN 1 AND 5, true)) > 1
-                    THEN 'duplicate' END AS reason
+                    THEN 'superseded' END AS reason
         FROM ({source}) s) y ON x.reason = y.reason GROUP BY x.reason"""
 
 
@@ -433,7 +459,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _graph_sql() -> dict[str, str]:
-    relations_a = _relations_sql(_A, LIMIT)
     return {
         "read_csv_strict": "SELECT doc_id, text, lang, source, n_chars FROM documents",
         "read_csv_pages": "SELECT page_id, url, html FROM pages",
@@ -454,13 +479,7 @@ def _graph_sql() -> dict[str, str]:
                        UNION SELECT DISTINCT 'item', i FROM ({_A}) s)
             SELECT 'a' AS dataset, ntype, key,
                    row_number() OVER (PARTITION BY ntype ORDER BY key) - 1 AS nid FROM k""",
-        "number_keys": """
-            SELECT 'a' AS dataset, dense_rank() OVER (ORDER BY c_name) - 1 AS u,
-                   dense_rank() OVER (ORDER BY p_name) - 1 AS i,
-                   CAST(ceil(l_quantity / 10) AS INTEGER) AS r,
-                   CAST(o_orderdate AS TIMESTAMP) AS ts
-            FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-            JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
+        "number_keys": _NAMED,
         "bipartite_edges": _bipartite_sql(_A),
         "bipartite_edges_b": _bipartite_sql(_B),
         "node_degrees": f"""
@@ -488,35 +507,41 @@ def _graph_sql() -> dict[str, str]:
             SELECT 'a' AS dataset, u, i FROM e
             WHERE round = (SELECT max(round) FROM e) AND least(du, di) >= {CORE}""",
         "graph_store": f"""
-            SELECT 'a' AS dataset, 'same_month' AS relation, src, dst, w
-            FROM ({relations_a['same_month']})""",
-        "graph_summary": _summary_sql(_A, LIMIT),
-        "graph_summary_b": _summary_sql(_B, DENSE),
-        "rel_co_user": relations_a["co_user"],
-        "rel_co_user_b": _share_sql(_B, "i", "u", DENSE),
-        "rel_co_user_b_hubs": _hubs_sql(_B, "i", "u", DENSE),
-        "rel_co_item": relations_a["co_item"],
-        "rel_co_item_b": _share_sql(_B, "u", "i", DENSE),
-        "rel_co_item_b_hubs": _hubs_sql(_B, "u", "i", DENSE),
-        "rel_same_rating": relations_a["same_rating"],
-        "rel_same_month": relations_a["same_month"],
-        "rel_same_month_b": _share_sql(_with_month(_B), "i, month", "u", DENSE),
-        "rel_same_month_b_hubs": _hubs_sql(_with_month(_B), "i, month", "u", DENSE),
-        "rel_rating_7d": relations_a["rating_7d"],
-        "rel_rating_7d_global": relations_a["rating_7d_global"],
-        "rel_rating_7d_global_dense": _days_sql(_A, "r", DENSE),
-        "rel_rating_7d_global_dense_hubs": _days_hubs_sql(_A, "r", DENSE),
+            SELECT dataset, 'same_month' AS relation, concat(i, ':', month) AS key, u AS node,
+                   CAST(NULL AS INTEGER) AS day
+            FROM ({_members_sql(_with_month(_A), "dataset, i, month, u")})""",
+        "graph_summary": _summary_sql(_A),
+        "graph_summary_b": _summary_sql(_B),
+        "graph_summary_ab": _summary_sql(_AB),
+        "members_a": _all_members_sql(_A),
+        "members_b": _all_members_sql(_B),
+        "members_ab": _all_members_sql(_AB),
+        "dedupe_latest_ab": _dedupe_sql(_AB),
+        "rel_co_user": _share_sql(_A, "i", "u"),
+        "rel_co_user_b": _members_sql(_B, "dataset, i, u"),
+        "rel_co_item": _share_sql(_A, "u", "i"),
+        "rel_co_item_b": _members_sql(_B, "dataset, u, i"),
+        "rel_same_rating": _share_sql(_A, "i, r", "u"),
+        "rel_same_month": _share_sql(_with_month(_A), "i, month", "u"),
+        "rel_same_month_b": _members_sql(_with_month(_B), "dataset, i, month, u"),
+        "rel_rating_7d": _days_sql(_A, "i, r"),
+        "rel_rating_7d_global": _members_sql(_with_day(_A), "dataset, r, u, day"),
         "rel_text_overlap": _TEXT,
+        "text_classes": f"SELECT doc_id, class_id FROM ({_CLASSES})",
         "topk_neighbours": _topk_sql(_A),
         "topk_neighbours_b": _topk_sql(_B),
-        "union_relations": f"""{_edges_sql(_A, LIMIT)} UNION ALL
+        "union_relations": f"""{_edges_sql(_A)} UNION ALL
             SELECT 'a', 'text_overlap', src, dst, w FROM ({_TEXT})""",
         "node_features": _features_sql(_A),
         "node_features_b": _features_sql(_B),
         "node_labels": """
             SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l
             ON d.doc_id = l.doc_id""",
-        "build_graph": _summary_sql(_B, DENSE),
+        "build_graph": _summary_sql(_B),
+        "build_graph_a": _edges_sql(_A),
+        "build_graph_text_keys": f"""
+            SELECT 'a' AS dataset, u, i, count(*) AS w, min(ts) AS first_ts, max(ts) AS last_ts
+            FROM ({_NAMED}) s GROUP BY u, i""",
         "build_text_graph": f"""
             SELECT 't' AS dataset, 'text_overlap' AS relation, src, dst, w FROM ({_TEXT})""",
     }

@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+DAY = 86_400_000_000  # microseconds
+
+
 def _null_key() -> Column:
     return F.col("u").isNull() | F.col("i").isNull()
 
@@ -18,40 +21,58 @@ def accepted(interactions: DataFrame) -> DataFrame:
 
 
 def dedupe_latest(interactions: DataFrame) -> DataFrame:
-    """One row per (u, i): the latest, then the best graded.
+    """One row per (dataset, u, i): the latest, then the best graded, nulls last.
 
-    A maximum over the whole remaining row needs no sort of a group and is
-    combined before the shuffle, so a pair repeated without end costs little.
+    Time and grade are packed into one number, whose maximum a hash aggregation finds without a sort,
+    before the shuffle too, so a pair repeated without end costs little.
     """
-    return (
-        interactions.groupBy("dataset", "u", "i")
-        .agg(F.max(F.struct("ts", "r")).alias("last"))
-        .select("dataset", "u", "i", "last.r", "last.ts")
-    )
+    day, part = F.unix_date(F.col("ts").cast("date")).cast("bigint"), F.lit(2**33).cast("decimal(11,0)")
+    second = F.hour("ts") * 3600 + F.minute("ts") * 60
+    micros = day * DAY + second.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), "ts") * 1_000_000).cast("bigint")
+    # a null lies below every time and every grade; grades are 32-bit, so 2^33 holds them apart
+    time = F.coalesce(micros, F.lit(-(2**63))).cast("decimal(20,0)")
+    grade = F.coalesce(F.col("r").cast("bigint"), F.lit(-(2**31) - 1)) + (2**31 + 1)
+    packed = (time * part + grade.cast("decimal(11,0)")).cast("decimal(38,0)")
+    last = interactions.groupBy("dataset", "u", "i").agg(F.max(packed).alias("last"))
+    low = F.pmod(F.col("last"), part)
+    high = ((F.col("last") - low) / part).cast("decimal(20,0)").cast("bigint")
+    days = F.floor(high / DAY).cast("int")
+    rest = ((high - days.cast("bigint") * DAY) / 1_000_000).cast("decimal(18,6)")
+    midnight = F.date_from_unix_date(days).cast("timestamp_ntz")
+    ts = F.when(high > -(2**63), midnight + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), rest))
+    r = F.when(low > 0, (low.cast("bigint") - (2**31 + 1)).cast("int"))
+    return last.select("dataset", "u", "i", r.alias("r"), ts.alias("ts"))
 
 
-def reject_report(
-    interactions: DataFrame, dataset: str, bad_rows: DataFrame | None = None
-) -> DataFrame:
-    """Rows dropped per reason; each row counts once, under the first that fits.
+def reject_report(interactions: DataFrame, dataset: str, bad_rows: DataFrame | None = None) -> DataFrame:
+    """Rows set aside per dataset and reason; each row counts once, under the first that fits.
 
-    Order: ``bad_row`` (kept apart by the CSV reader), ``null_key``,
-    ``bad_rating``, ``duplicate``.
+    Order: ``bad_row`` (kept apart by the CSV reader, which knows no dataset, so they count for
+    ``dataset``), ``null_key``, ``bad_rating``, and ``superseded``: rows that a later one of the same user
+    and item replaces wherever grades count. Those are still events, and are counted as such.
     """
     null_key, bad_rating = _null_key(), _bad_rating()
-    per_pair = interactions.groupBy("u", "i").agg(
+    per_pair = interactions.groupBy("dataset", "u", "i").agg(
         F.count_if(null_key).alias("null_key"),
         F.count_if(~null_key & bad_rating).alias("bad_rating"),
         F.count_if(~null_key & ~bad_rating).alias("kept"),
     )
-    report = per_pair.agg(
-        F.sum("null_key").alias("null_key"),
-        F.sum("bad_rating").alias("bad_rating"),
-        F.sum(F.greatest(F.col("kept") - 1, F.lit(0))).alias("duplicate"),
-    ).unpivot([], ["null_key", "bad_rating", "duplicate"], "reason", "n")
+    reasons = ["null_key", "bad_rating", "superseded"]
+    report = (
+        per_pair.groupBy("dataset")
+        .agg(
+            F.sum("null_key").alias("null_key"),
+            F.sum("bad_rating").alias("bad_rating"),
+            F.sum(F.greatest(F.col("kept") - 1, F.lit(0))).alias("superseded"),
+        )
+        .unpivot(["dataset"], reasons, "reason", "n")
+    )
+    spark = interactions.sparkSession
+    zero = spark.range(1).select(
+        F.lit(dataset).alias("dataset"), F.explode(F.array(*map(F.lit, reasons))).alias("reason"), F.lit(0).cast("bigint").alias("n")
+    )
+    report = report.unionByName(zero)
     if bad_rows is not None:
         bad = bad_rows.agg(F.count("*").alias("n"))
-        report = bad.select(F.lit("bad_row").alias("reason"), "n").unionByName(report)
-    return report.select(
-        F.lit(dataset).alias("dataset"), "reason", F.coalesce("n", F.lit(0)).alias("n")
-    )
+        report = report.unionByName(bad.select(F.lit(dataset).alias("dataset"), F.lit("bad_row").alias("reason"), "n"))
+    return report.groupBy("dataset", "reason").agg(F.sum("n").alias("n"))

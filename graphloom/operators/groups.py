@@ -1,61 +1,71 @@
-"""Splitting rows by how many of them share a key.
+"""Pairs within groups, complete at any size of a group.
 
-A key shared by d nodes stands for d(d-1)/2 pairs. Up to ``limit`` members the
-pairs are written out, so a row never makes more than ``limit`` of them. A
-larger group, a hub, is kept as its member rows, which say the same in d rows.
+A key shared by d nodes stands for d(d-1)/2 pairs. How many members a key has decides how its pairs
+are dealt to tasks, and never which pairs there are.
 """
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HUB_LIMIT = 256
-SALTS = 32  # a power of two
+TILE = 512  # members of a key that a task meets at once, on each side
+
 
+def group_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key, of keys with two or more."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > 1)
 
-def split_groups(
-    rows: DataFrame, keys: list[str], members: list[str], limit: int
-) -> tuple[DataFrame, DataFrame]:
-    """Small groups as ``keys, members`` (a sorted array), and the rows of all other groups.
 
-    ``rows`` must be distinct. The ranking keeps ``limit + 1`` rows of a group,
-    enough to tell a hub. Spark applies such a filter before the shuffle as well
-    (below ``spark.sql.optimizer.windowGroupLimitThreshold``), so no task sees
-    a hub whole.
+def pairs_in_groups(
+    rows: DataFrame, keys: list[str], member: str, keep: Column, tile: int = TILE
+) -> DataFrame:
+    """Rows ``a`` and ``b`` (structs of what is not a key) of each two rows with equal keys.
+
+    ``rows`` must be distinct; each ordered pair is met once, and ``keep``, over ``a`` and ``b``,
+    says which are wanted. The members of a key are parted into tiles by a hash of ``member``, as
+    many as its exact count asks for, and each pair of tiles is a join key of its own: most keys are
+    one tile, and a hot one is many tasks of the same bounded size.
     """
-    top = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if not 2 <= limit < top - 1:
-        raise ValueError(f"limit must be from 2 to {top - 2}, so that hubs are cut before the shuffle")
-    member = F.col(members[0]) if len(members) == 1 else F.struct(*members)
-    first = Window.partitionBy(*keys).orderBy(*members)
-    groups = (
-        rows.withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= limit + 1)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(member)).alias("members"))
+    rest = [c for c in rows.columns if c not in keys]
+    tiled = rows.join(group_sizes(rows, keys), keys).withColumn(
+        "_tiles", F.ceil(F.col("size") / tile).cast("int")
+    )
+    tiled = tiled.select(
+        *keys,
+        F.struct(*rest).alias("_row"),
+        F.pmod(F.xxhash64(member), F.col("_tiles")).cast("int").alias("_own"),
+        F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"),
     )
-    hubs = groups.where(F.size("members") > limit).select(*keys)
-    small = groups.where(F.size("members").between(2, limit))
-    return small, rows_of_hubs(rows, hubs, keys, members[0])
+
+    def side(name: str, first: str, second: str) -> DataFrame:
+        return tiled.select(*keys, F.col(first).alias("_i"), F.col(second).alias("_j"), F.col("_row").alias(name))
+
+    met = side("a", "_own", "_other").join(side("b", "_other", "_own"), [*keys, "_i", "_j"])
+    return met.where(keep).drop("_i", "_j")
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows without a null; one plain filter per column, which reaches the scan."""
+    return reduce(lambda df, c: df.where(F.col(c).isNotNull()), rows.columns, rows)
+
+
+def salts(rows: DataFrame) -> int:
+    """As many as there are shuffle partitions, so that one hot key can use them all."""
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(rows: DataFrame, by: str) -> DataFrame:
-    """Give each row one of ``SALTS`` salts, so that one key is many join keys."""
-    return rows.withColumn("salt", F.xxhash64(by).bitwiseAND(F.lit(SALTS - 1)))
+    """Give each row one of the salts, so that one key is many join keys."""
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts(rows))))
 
 
 def repeat(rows: DataFrame) -> DataFrame:
     """Each row once per salt: the other, small side of a join with ``spread`` rows."""
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    return rows.withColumn("salt", F.explode(salts))
+    all_salts = F.sequence(F.lit(0).cast("bigint"), F.lit(salts(rows) - 1).cast("bigint"))
+    return rows.withColumn("_salt", F.explode(all_salts))
 
 
-def rows_of_hubs(rows: DataFrame, hubs: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """``rows`` whose key is in ``hubs``; the rows of one hub are spread over many tasks."""
-    return spread(rows, by).join(repeat(hubs), [*keys, "salt"], "left_semi").drop("salt")
-
-
-def member_pairs(groups: DataFrame, limit: int) -> DataFrame:
-    """Pairs ``a, b`` of each array, ``a`` before ``b``, one row per group and pair."""
-    return groups.select("members", F.posexplode("members").alias("at", "a")).select(
-        "a", F.explode(F.slice("members", F.col("at") + 2, F.lit(limit))).alias("b")
-    )
+def rows_of_keys(rows: DataFrame, wanted: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` whose key is in ``wanted``; the rows of one key are spread over many tasks."""
+    return spread(rows, by).join(repeat(wanted), [*keys, "_salt"], "left_semi").drop("_salt")

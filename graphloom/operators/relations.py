@@ -1,9 +1,9 @@
 """Relations between users, or items, that share a key.
 
-Every relation is two tables. ``pairs`` holds ``src < dst`` with ``w`` = shared
-keys of at most ``hub_limit`` members; ``hubs`` holds the members of the larger
-ones. Together they are the whole relation: the weight of a pair is its ``w``
-plus the number of hubs both ends are members of.
+A relation has two forms. ``members`` holds each node of each key once, and is linear in the input;
+it is what is stored, united and counted. ``pairs`` writes out ``src < dst`` with ``w``, the number of
+keys that both have. Both are complete, whatever the size of a key; on dense data ``pairs`` is as
+large as the relation is, so there the member form is the one to use.
 """
 
 from functools import reduce
@@ -13,145 +13,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import day_number, month_number, tokens
-from graphloom.operators.groups import HUB_LIMIT, member_pairs, split_groups
+from graphloom.operators.groups import TILE, complete, pairs_in_groups
 
 
 class Relation(NamedTuple):
-    pairs: DataFrame
-    hubs: DataFrame
-
+    """Distinct rows of ``dataset``, the keys, the node and, for relations in time, ``day``."""
 
-def complete(rows: DataFrame) -> DataFrame:
-    """Rows without a null; one plain filter per column, which reaches the scan."""
-    return reduce(lambda df, c: df.where(F.col(c).isNotNull()), rows.columns, rows)
+    members: DataFrame
+    keys: list[str]
+    node: str
+    days: int | None = None
 
 
-def _share(rows: DataFrame, keys: list[str], node: str, hub_limit: int) -> Relation:
-    rows = complete(rows).distinct()
-    small, hubs = split_groups(rows, keys, [node], hub_limit)
-    pairs = (
-        member_pairs(small, hub_limit)
-        .groupBy(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .agg(F.count("*").alias("w"))
-    )
-    return Relation(pairs, hubs.select(*keys, node))
+def _members(rows: DataFrame, keys: list[str], node: str, days: int | None = None) -> Relation:
+    return Relation(complete(rows).distinct(), ["dataset", *keys], node, days)
 
 
-def co_user(interactions: DataFrame, hub_limit: int = HUB_LIMIT) -> Relation:
+def co_user(interactions: DataFrame) -> Relation:
     """Users sharing an item."""
-    return _share(interactions.select("u", "i"), ["i"], "u", hub_limit)
+    return _members(interactions.select("dataset", "i", "u"), ["i"], "u")
 
 
-def co_item(interactions: DataFrame, hub_limit: int = HUB_LIMIT) -> Relation:
+def co_item(interactions: DataFrame) -> Relation:
     """Items sharing a user."""
-    return _share(interactions.select("u", "i"), ["u"], "i", hub_limit)
+    return _members(interactions.select("dataset", "u", "i"), ["u"], "i")
 
 
-def same_rating(interactions: DataFrame, hub_limit: int = HUB_LIMIT) -> Relation:
+def same_rating(interactions: DataFrame) -> Relation:
     """Users who gave an item the same grade."""
-    return _share(interactions.select("u", "i", "r"), ["i", "r"], "u", hub_limit)
+    return _members(interactions.select("dataset", "i", "r", "u"), ["i", "r"], "u")
 
 
-def same_month(interactions: DataFrame, hub_limit: int = HUB_LIMIT) -> Relation:
+def same_month(interactions: DataFrame) -> Relation:
     """Users of an item in the same calendar month."""
-    rows = interactions.select("u", "i", month_number(F.col("ts")).alias("month"))
-    return _share(rows, ["i", "month"], "u", hub_limit)
-
-
-def rating_within_days(
-    interactions: DataFrame,
-    days: int = 7,
-    same_item: bool = True,
-    hub_limit: int = HUB_LIMIT,
-) -> Relation:
-    """Users with an equal grade at most ``days`` calendar days apart; ``w`` is 1.
-
-    The calendar is cut into blocks of ``days``, so the partner of a row lies
-    in its own block or a neighbouring one. Each row is a ``home`` row of its
-    own block and a guest of the next: a pair meets in one block, and two
-    guests are left to the block where both are at home. Two members of a hub
-    are related if their ``day`` differs by at most ``days``.
-    """
+    month = month_number(F.col("ts")).alias("month")
+    return _members(interactions.select("dataset", "i", month, "u"), ["i", "month"], "u")
+
+
+def rating_within_days(interactions: DataFrame, days: int = 7, same_item: bool = True) -> Relation:
+    """Users with an equal grade (of the same item) at most ``days`` calendar days apart."""
     match = ["i", "r"] if same_item else ["r"]
-    visits = interactions.select(*match, "u", day_number(F.col("ts")).alias("day"))
+    day = day_number(F.col("ts")).alias("day")
+    return _members(interactions.select("dataset", *match, "u", day), match, "u", days)
+
+
+def pairs(relation: Relation, tile: int = TILE) -> DataFrame:
+    """All pairs, as ``dataset, src, dst, w``; ``w`` is 1 for a relation within days.
+
+    ``tile`` sets how large keys are dealt to tasks. The result does not depend on it.
+    """
+    if relation.days is not None:
+        return _pairs_within_days(relation, tile)
+    node = relation.node
+    found = pairs_in_groups(
+        relation.members, relation.keys, node, F.col(f"a.{node}") < F.col(f"b.{node}"), tile
+    )
+    return found.groupBy(
+        "dataset", F.col(f"a.{node}").alias("src"), F.col(f"b.{node}").alias("dst")
+    ).agg(F.count("*").alias("w"))
+
+
+def _pairs_within_days(relation: Relation, tile: int) -> DataFrame:
+    """The calendar is cut into blocks of ``days``, so the partner of a row lies in its own block or
+    a neighbouring one. Each row is a ``home`` row of its own block and a guest of the next: a pair
+    meets in one block, and two guests are left to the block where both are at home.
+    """
+    days = relation.days
     block = F.floor(F.col("day") / days).cast("int")
     blocks = F.array(
         F.struct(block.alias("block"), F.lit(True).alias("home")),
         F.struct((block + 1).alias("block"), F.lit(False).alias("home")),
     )
-    rows = (
-        complete(visits)
-        .distinct()
-        .select(*match, "u", "day", F.explode(blocks).alias("b"))
-        .select(*match, "b.block", "u", "day", "b.home")
+    rows = relation.members.select(*relation.keys, "u", "day", F.explode(blocks).alias("x")).select(
+        *relation.keys, "x.block", "u", "day", "x.home"
     )
-    keys = [*match, "block"]
-    small, hubs = split_groups(rows, keys, ["u", "day", "home"], hub_limit)
     near = (
         (F.col("a.u") < F.col("b.u"))
         & (F.abs(F.col("a.day") - F.col("b.day")) <= days)
         & (F.col("a.home") | F.col("b.home"))
     )
-    pairs = (
-        member_pairs(small, hub_limit)
-        .where(near)
-        .select(F.col("a.u").alias("src"), F.col("b.u").alias("dst"))
+    return (
+        pairs_in_groups(rows, [*relation.keys, "block"], "u", near, tile)
+        .select("dataset", F.col("a.u").alias("src"), F.col("b.u").alias("dst"))
         .distinct()
         .withColumn("w", F.lit(1).cast("bigint"))
     )
-    return Relation(pairs, hubs.select(*keys, "u", "day"))
 
 
-def text_overlap(
-    documents: DataFrame, min_shared: int = 3, min_texts: int = 2, max_texts: int = 20
-) -> DataFrame:
-    """Texts sharing at least ``min_shared`` tokens; ``w`` = shared tokens.
+class TextOverlap(NamedTuple):
+    pairs: DataFrame
+    classes: DataFrame
+
 
-    Only tokens found in ``min_texts`` to ``max_texts`` texts say that two texts
-    are alike. That is the rule of the relation, and it bounds every group, so
-    there are no hubs.
+def text_overlap(documents: DataFrame, percent: int = 50, tile: int = TILE) -> TextOverlap:
+    """Texts whose token sets have at least ``percent`` of their union in common.
+
+    ``classes`` says for each text which text stands for its token set: the smallest id with equal
+    tokens, so copies make no pairs. ``pairs`` holds ``src < dst`` of those, with ``w`` the shared tokens.
+    A text without tokens has no class.
+
+    All tokens count. Candidates are exact: with tokens in order of rarity, two sets so alike share
+    one of the first ``n - ceil(percent n) + 1`` of each, so only those are joined, and all are compared on
+    whole sets. Another text changes which tokens are joined on, and never takes a pair away.
     """
-    words = (
-        documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-        .where(F.col("token") != "")
+    share = percent / 100
+    kept = F.array_sort(F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: t != ""))
+    sets = documents.select("doc_id", kept.alias("tokens")).where("doc_id IS NOT NULL AND size(tokens) > 0")
+    sets = sets.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+    stands = sets.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
+    classes = sets.select("doc_id", "set").join(stands.select("set", "id"), "set")
+    each = stands.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("texts"))
+    ordered = (
+        each.join(counts, "token")
+        .groupBy("id", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("rare"))
+        .select("id", "n", F.col("rare.token").alias("rare"))
     )
-    shared, _ = split_groups(words, ["token"], ["doc_id"], max_texts)
-    return (
-        member_pairs(shared.where(F.size("members") >= min_texts), max_texts)
-        .groupBy(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .agg(F.count("*").alias("w"))
-        .where(F.col("w") >= min_shared)
+    first = F.slice("rare", 1, F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
+    wanted = (
+        (F.col("a.id") < F.col("b.id"))
+        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+    )
+    found = (
+        pairs_in_groups(ordered.select("id", "n", F.explode(first).alias("token")), ["token"], "id", wanted, tile)
+        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+        .distinct()
     )
+    whole = stands.select("id", "tokens")
+    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
+    compared = (
+        found.join(whole.select(F.col("id").alias("src"), F.col("tokens").alias("x")), "src")
+        .join(whole.select(F.col("id").alias("dst"), F.col("tokens").alias("y")), "dst")
+        .select("src", "dst", shared.alias("w"), (F.size("x") + F.size("y")).alias("both"))
+        .where(F.col("w") * 100 >= (F.col("both") - F.col("w")) * percent)
+    )
+    return TextOverlap(compared.select("src", "dst", "w"), classes.select("doc_id", F.col("id").alias("class_id")))
 
 
-def union_relations(relations: dict[str, DataFrame], dataset: str) -> DataFrame:
-    """All pair tables as one ``edges`` table.
+def union_members(relations: dict[str, Relation]) -> DataFrame:
+    """The members of all relations: ``dataset, relation, key`` (as text), ``node, day``.
 
-    Each is distinct in (src, dst) and has its own name, so the union is
-    distinct as it stands and needs no shuffle.
+    Each is distinct and has its own name, so the union is distinct as it stands: no shuffle.
     """
-    parts = [
-        pairs.select(
-            F.lit(dataset).alias("dataset"), F.lit(name).alias("relation"), "src", "dst", "w"
-        )
-        for name, pairs in relations.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
 
-def union_hubs(relations: dict[str, Relation], dataset: str) -> DataFrame:
-    """The hub members of all relations, with the key of the hub as text."""
-
-    def part(name: str, hubs: DataFrame) -> DataFrame:
-        node = "i" if name == "co_item" else "u"
-        day = F.col("day") if "day" in hubs.columns else F.lit(None).cast("int")
-        keys = [c for c in hubs.columns if c not in (node, "day")]
-        return hubs.select(
-            F.lit(dataset).alias("dataset"),
+    def part(name: str, relation: Relation) -> DataFrame:
+        day = F.col("day") if relation.days is not None else F.lit(None).cast("int")
+        return relation.members.select(
+            "dataset",
             F.lit(name).alias("relation"),
-            F.concat_ws(":", *keys).alias("hub"),
-            F.col(node).alias("node"),
+            F.concat_ws(":", *relation.keys[1:]).alias("key"),
+            F.col(relation.node).alias("node"),
             day.alias("day"),
         )
 
-    return reduce(DataFrame.unionByName, [part(n, r.hubs) for n, r in relations.items()])
+    return reduce(DataFrame.unionByName, [part(n, r) for n, r in relations.items()])
+
+
+def union_pairs(relations: dict[str, DataFrame]) -> DataFrame:
+    """Pair tables as one ``edges`` table: ``dataset, relation, src, dst, w``."""
+    parts = [
+        found.select("dataset", F.lit(name).alias("relation"), "src", "dst", "w")
+        for name, found in relations.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -1,6 +1,9 @@
 """The whole job: interactions in, graph folders out.
 
     spark-submit --py-files graphloom.zip graphloom/plans/build_graph.py a <csv folder> <output folder>
+
+``a`` and ``b`` are the two stand-in sources, ``text`` builds the graph of alike texts. Any other table
+is built with ``build_graph(from_columns(...))``.
 """
 
 import sys
@@ -10,34 +13,44 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.bipartite import bipartite_edges
 from graphloom.operators.clean import accepted, dedupe_latest, reject_report
-from graphloom.operators.groups import HUB_LIMIT
-from graphloom.operators.nodes import node_features, node_index, node_labels
+from graphloom.operators.nodes import node_features, node_index, node_labels, number_keys
 from graphloom.operators.relations import (
     Relation,
     co_item,
     co_user,
+    pairs,
     rating_within_days,
     same_month,
     same_rating,
     text_overlap,
-    union_hubs,
-    union_relations,
+    union_members,
+    union_pairs,
 )
 from graphloom.operators.summary import graph_summary
 from graphloom.scratch import materialize
+from graphloom.sources.csv import read_csv
 from graphloom.sources.interactions import interactions_a_csv, interactions_b_csv
-from graphloom.sources.store import write_edges, write_partitioned
+from graphloom.sources.store import Run
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LABELS = "doc_id bigint, quality int, toxic int"
+
 
+def all_relations(events: DataFrame, graded: DataFrame | None = None) -> dict[str, Relation]:
+    """Every relation built from interactions, by the name it has in the store.
 
-def all_relations(interactions: DataFrame, hub_limit: int = HUB_LIMIT) -> dict[str, Relation]:
-    """Every relation built from interactions, by the name it has in the store."""
+    Relations by grade come from ``graded``, the last row of each user and item; all others from the
+    events. Both are written to scratch first, as six relations read them.
+    """
+    graded = materialize(dedupe_latest(events), "graded") if graded is None else graded
+    base = materialize(events.select("dataset", "u", "i", "ts").distinct(), "base")
     return {
-        "co_user": co_user(interactions, hub_limit),
-        "co_item": co_item(interactions, hub_limit),
-        "same_rating": same_rating(interactions, hub_limit),
-        "same_month": same_month(interactions, hub_limit),
-        "rating_7d": rating_within_days(interactions, 7, True, hub_limit),
-        "rating_7d_global": rating_within_days(interactions, 7, False, hub_limit),
+        "co_user": co_user(base),
+        "co_item": co_item(base),
+        "same_rating": same_rating(graded),
+        "same_month": same_month(base),
+        "rating_7d": rating_within_days(graded, 7, True),
+        "rating_7d_global": rating_within_days(graded, 7, False),
     }
 
 
@@ -46,55 +59,58 @@ def build_graph(
     dataset: str,
     out: str,
     bad_rows: DataFrame | None = None,
-    hub_limit: int = HUB_LIMIT,
-) -> None:
-    """Write the tables of one dataset under ``out``.
-
-    ``interactions`` (without duplicates), ``rejects``, ``nodes``, ``features``,
-    ``bipartite``, ``edges``, ``hubs`` and ``summary``. The accepted rows are
-    written to scratch once, since every table reads them.
+    with_pairs: tuple[str, ...] = (),
+) -> Run:
+    """Write the tables of one dataset under ``out``, as one run of the store.
+
+    ``rejects``; ``nodes`` with a dense ``nid`` per node type, whatever type the keys have; and, with
+    users and items as ``nid``, ``interactions`` (the last row per user and item), ``features``,
+    ``bipartite``, ``members`` of all relations, ``edges`` with all pairs of the relations named in
+    ``with_pairs`` (for sparse ones), and ``summary``. The input is read once.
     """
-    spark = interactions.sparkSession
-    events = materialize(accepted(interactions), "accepted")
-    bipartite = bipartite_edges(events)
-    relations = all_relations(events, hub_limit)
-    edges = union_relations({name: r.pairs for name, r in relations.items()}, dataset)
-    hubs = union_hubs(relations, dataset)
-
-    write_partitioned(reject_report(interactions, dataset, bad_rows), f"{out}/rejects", ["dataset"])
-    write_partitioned(dedupe_latest(events), f"{out}/interactions", ["dataset"])
-    write_partitioned(node_index(events), f"{out}/nodes", ["dataset", "ntype"])
-    write_partitioned(node_features(events), f"{out}/features", ["dataset"])
-    write_partitioned(bipartite, f"{out}/bipartite", ["dataset"])
-    write_edges(edges, f"{out}/edges")
-    write_partitioned(hubs, f"{out}/hubs", ["dataset", "relation"])
-
-    def written(name: str, like: DataFrame) -> DataFrame:
-        table = spark.read.schema(like.schema).parquet(f"{out}/{name}")
-        return table.where(F.col("dataset") == dataset)
-
-    summary = graph_summary(
-        events, bipartite, written("edges", edges), written("hubs", hubs), list(relations)
-    )
-    write_partitioned(
-        summary.withColumn("dataset", F.lit(dataset)), f"{out}/summary", ["dataset"]
-    )
-
-
-def build_text_graph(documents: DataFrame, labels: DataFrame, dataset: str, out: str) -> None:
-    """Write the texts of a dataset with their labels, and the edges between alike texts."""
-    nodes = node_labels(documents, labels).withColumn("dataset", F.lit(dataset))
-    write_partitioned(nodes, f"{out}/texts", ["dataset"])
-    write_edges(
-        union_relations({"text_overlap": text_overlap(documents)}, dataset), f"{out}/edges"
-    )
+    run = Run(interactions.sparkSession, out, dataset)
+    rows = materialize(interactions, "interactions")
+    run.write(reject_report(rows, dataset, bad_rows), "rejects")
+    events = accepted(rows)
+    index = run.write(node_index(events), "nodes", ["ntype"])
+    events = materialize(number_keys(events, index), "events")
+    graded = run.write(dedupe_latest(events), "interactions")
+    relations = all_relations(events, graded)
+    run.write(node_features(events), "features")
+    bipartite = run.write(bipartite_edges(events), "bipartite")
+    members = run.write(union_members(relations), "members", ["relation"])
+    if with_pairs:
+        run.write(union_pairs({name: pairs(relations[name]) for name in with_pairs}), "edges", ["relation"])
+    run.write(graph_summary(events, bipartite, members, list(relations)), "summary")
+    run.finish()
+    return run
+
+
+def build_text_graph(documents: DataFrame, labels: DataFrame, dataset: str, out: str) -> Run:
+    """Write the texts of a dataset with their labels and classes, and the edges between classes."""
+    run = Run(documents.sparkSession, out, dataset)
+    found = text_overlap(documents)
+    name = F.lit(dataset).alias("dataset")
+    texts = node_labels(documents, labels).join(found.classes, "doc_id", "left").select(name, "*")
+    run.write(texts, "texts")
+    run.write(union_pairs({"text_overlap": found.pairs.select(name, "*")}), "edges", ["relation"])
+    run.finish()
+    return run
 
 
 def main(source: str, csv_dir: str, out: str) -> None:
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
-    read = {"a": interactions_a_csv, "b": interactions_b_csv}[source]
+    if source == "text":
+        documents = read_csv(spark, f"{csv_dir}/documents", DOCUMENTS).rows
+        labels = read_csv(spark, f"{csv_dir}/labels", LABELS, multiline=False).rows
+        build_text_graph(documents, labels, source, out)
+        return
+    read, sparse = {
+        "a": (interactions_a_csv, ("co_user", "co_item", "same_rating", "same_month", "rating_7d")),
+        "b": (interactions_b_csv, ()),
+    }[source]
     table = read(spark, csv_dir)
-    build_graph(table.rows, source, out, table.bad)
+    build_graph(table.rows, source, out, table.bad, sparse)
 
 
 if __name__ == "__main__":

@@ -1,25 +1,16 @@
 """Tables written between stages, to cut lineage so that lost executors cost little."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The shared folder named by ``spark.checkpoint.dir``; there is no other."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="graphloom-")
-    return _local_roots[app]
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    return shared
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -29,16 +20,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and return a scan of what was written."""
-    return materialize_at(df, scratch_path(df.sparkSession, label))
-
+    """Write ``df`` to the scratch folder and return a scan of what was written.
 
-def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    Results are lazy and read such tables, so they stay until the application has ended; then its
+    one folder can be removed as a whole.
+    """
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

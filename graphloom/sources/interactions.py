@@ -26,8 +26,7 @@ def canonical(
 ) -> DataFrame:
     """Any table with a user, an item, a grade and a time, as interactions.
 
-    Where the keys are text, give ``key="string"`` and follow with
-    ``operators.nodes.number_keys``.
+    Where the keys are text, give ``key="string"``; ``build_graph`` numbers them.
     """
     return df.select(
         F.lit(dataset).alias("dataset"),
@@ -38,6 +37,13 @@ def canonical(
     )
 
 
+def from_columns(df: DataFrame, dataset: str, columns: dict[str, str], key: str = "string") -> DataFrame:
+    """Any table as interactions, by the names of its columns: ``u`` and ``i``, and ``r`` and ``ts`` if it
+    has them. Keys of any type are numbered by the job."""
+    r, ts = (F.col(columns[c]) if c in columns else F.lit(None) for c in ("r", "ts"))
+    return canonical(df, dataset, F.col(columns["u"]), F.col(columns["i"]), r, ts, key)
+
+
 def from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Source A: a line item is a purchase of its part by the customer of its order."""
     joined = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)

@@ -16,8 +16,8 @@ SMALL = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests")
+def spark(tmp_path_factory):
+    session = local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

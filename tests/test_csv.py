@@ -33,7 +33,7 @@ def test_round_trip_of_awkward_values(spark, tmp_path):
 def test_small_files_for_free_text(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     path = str(tmp_path / "docs")
-    write_csv(docs, path, max_rows_per_file=100)
+    write_csv(docs, path, max_bytes_per_file=200_000)
     assert len(list((tmp_path / "docs").glob("*.csv"))) >= 10
     back = read_csv(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert back.rows.exceptAll(docs).isEmpty()
@@ -70,4 +70,4 @@ def test_bad_rows_reach_the_report(spark, tmp_path):
     )
     table = interactions_b_csv(spark, str(tmp_path))
     report = {r.reason: r.n for r in reject_report(table.rows, "b", table.bad).collect()}
-    assert report == {"bad_row": 1, "null_key": 1, "bad_rating": 0, "duplicate": 1}
+    assert report == {"bad_row": 1, "null_key": 1, "bad_rating": 0, "superseded": 1}

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,9 +71,43 @@ def test_each_row_has_one_reason(spark):
 
 def test_report_of_nothing(spark):
     report = {r.reason: r.n for r in reject_report(frame(spark, []), "t").collect()}
-    assert report == {"null_key": 0, "bad_rating": 0, "duplicate": 0}
+    assert report == {"null_key": 0, "bad_rating": 0, "superseded": 0}
 
 
 def test_features_without_grades(spark):
     (row,) = node_features(frame(spark, [(1, 1, None, None)])).collect()
     assert (row.events, row["items"], row.r_mean, row.r_stddev, row.active_days) == (1, 1, None, None, 0)
+
+
+def test_equal_grades_have_no_deviation(spark):
+    rows = spark.range(200_001).selectExpr("'t' AS dataset", "1L AS u", "id % 3 AS i", "3 AS r", "timestamp_ntz'2024-01-01' AS ts")
+    (row,) = node_features(rows).collect()
+    assert (row.events, row.r_mean, row.r_stddev) == (200_001, 3.0, 0.0)
+
+
+def test_the_last_row_is_found_without_a_sort(spark):
+    rows = [
+        (1, 1, 2, datetime(1969, 12, 31, 23, 59, 59, 999999)),
+        (1, 1, None, datetime(1969, 12, 31, 23, 59, 59, 999999)),
+        (1, 1, 5, None),
+        (1, 2, None, None),
+        (1, 3, None, datetime(2024, 2, 29, 12, 30, 1, 5)),
+        (1, 4, -7, None),
+        (1, 4, None, None),
+    ]
+    last = dedupe_latest(frame(spark, rows))
+    assert {(r.i, r.r, r.ts) for r in last.collect()} == {(1, *rows[0][2:]), (2, None, None), (3, *rows[4][2:]), (4, -7, None)}
+    assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+
+
+def test_core_of_a_long_chain(spark):
+    """Every round takes two nodes off the ends of a path; a ladder beside it stays."""
+    path = [(n // 2, (n + 1) // 2, 1, None) for n in range(24)]
+    square = [(100 + a, 100 + b, 1, None) for a in range(3) for b in range(3)]
+    core = k_core(bipartite_edges(frame(spark, path + square)), 2)
+    assert {(r.u, r.i) for r in core.collect()} == {(u, i) for u, i, *_ in square}
+
+
+def test_rows_without_a_number_stay(spark):
+    df = frame(spark, [(None, 1, 3, None), (1, 2, 3, None)])
+    assert sorted(map(str, number_keys(df, node_index(df)).select("u", "i").collect())) == ["Row(u=0, i=1)", "Row(u=None, i=0)"]

@@ -6,8 +6,8 @@ import __spark_entry__ as registry
 from tests.conftest import TINY
 from tests.oracle import connect, difference
 
-QUERIES = registry.queries()
-SQL = registry.oracle_sql()
+QUERIES = registry._graph_queries()
+SQL = registry._graph_sql()
 
 
 @pytest.fixture(scope="module")

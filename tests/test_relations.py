@@ -1,35 +1,37 @@
 from collections import defaultdict
+from datetime import timedelta
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators.relations import (
     co_item,
     co_user,
+    pairs,
     rating_within_days,
     same_month,
     same_rating,
     text_overlap,
+    union_members,
 )
+from graphloom.plans.build_graph import all_relations
 from graphloom.sources.interactions import interactions_a
 from tests.conftest import SMALL, frame, near, shared, visits
 
-LIMITS = [2, 5, 20, 256]
+TILES = [1, 7, 512]
 
 
-def weights(relation):
-    """Pairs of a relation with their whole weight, hubs included."""
-    *_, node = relation.hubs.columns
-    members = [(tuple(r)[:-1], tuple(r)[-1]) for r in relation.hubs.collect()]
-    total = defaultdict(int, shared(members))
-    for r in relation.pairs.collect():
-        assert r.src < r.dst
-        total[r.src, r.dst] += r.w
-    return dict(total)
+def found(df):
+    rows = df.collect()
+    assert all(r.src < r.dst for r in rows)
+    got = {(r.src, r.dst): r.w for r in rows}
+    assert len(got) == len(rows)
+    return got
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_pairs_and_hubs_are_the_whole_relation(spark, limit):
+@pytest.mark.parametrize("tile", TILES)
+def test_pairs_are_complete_with_one_tile_and_many(spark, tile):
     rows = visits(1)
     df = frame(spark, rows)
     expected = {
@@ -39,72 +41,107 @@ def test_pairs_and_hubs_are_the_whole_relation(spark, limit):
         same_month: [((i, ts.year, ts.month), u) for u, i, r, ts in rows],
     }
     for build, keyed in expected.items():
-        assert weights(build(df, limit)) == shared(keyed), build.__name__
+        relation = build(df)
+        assert found(pairs(relation, tile)) == shared(keyed), build.__name__
+        *_, node = relation.members.columns
+        members = [(tuple(r)[:-1], r[node]) for r in relation.members.collect()]
+        assert shared(members) == shared(keyed), build.__name__
 
 
-@pytest.mark.parametrize("limit", LIMITS)
+@pytest.mark.parametrize("tile", TILES)
 @pytest.mark.parametrize("same_item", [True, False])
-def test_days(spark, limit, same_item):
+def test_days(spark, tile, same_item):
     rows = visits(2)
-    relation = rating_within_days(frame(spark, rows), 7, same_item, limit)
-    pairs = [(r.src, r.dst) for r in relation.pairs.collect()]
-    assert len(pairs) == len(set(pairs))
-    found = set(pairs)
+    relation = rating_within_days(frame(spark, rows), 7, same_item)
+    assert set(found(pairs(relation, tile))) == near(rows, 7, same_item)
     groups = defaultdict(list)
-    for r in relation.hubs.collect():
+    for r in relation.members.collect():
         groups[tuple(r)[:-2]].append((r.u, r.day))
-    for members in groups.values():
-        for (u, day), (u2, day2) in combinations(sorted(members), 2):
-            if u != u2 and abs(day - day2) <= 7:
-                found.add((u, u2))
-    assert found == near(rows, 7, same_item)
-
-
-def test_no_group_above_the_limit_is_paired(spark):
-    relation = co_user(frame(spark, visits(1)), 20)
-    sizes = {r["i"]: r["count"] for r in relation.hubs.groupBy("i").count().collect()}
-    assert sizes and min(sizes.values()) > 20
-
-
-def test_the_limit_must_let_spark_cut_hubs_early(spark):
-    with pytest.raises(ValueError):
-        co_user(frame(spark, visits(1)), 999)
-
-
-def test_tokens_by_brute_force(spark):
-    texts = [
-        (0, "Red green  blue sun"),
-        (1, "red GREEN blue moon"),
-        (2, "red green moon star"),
-        (3, "red red red"),
-        (4, "sun moon star blue green"),
-        (5, ""),
-        (6, None),
-    ]
-    keyed = [(t, d) for d, text in texts if text for t in text.lower().split(" ") if t]
-    df = spark.createDataFrame(texts, "doc_id bigint, text string")
-    count = {t: len({d for k, d in keyed if k == t}) for t, _ in keyed}
-    kept = [(t, d) for t, d in keyed if 2 <= count[t] <= 3]
-    want = {p: n for p, n in shared(kept).items() if n >= 2}
-    got = {(r.src, r.dst): r.w for r in text_overlap(df, 2, 2, 3).collect()}
-    assert got == want and want
+    by_members = {
+        (u, u2)
+        for members in groups.values()
+        for (u, day), (u2, day2) in combinations(sorted(members), 2)
+        if u != u2 and abs(day - day2) <= 7
+    }
+    assert by_members == near(rows, 7, same_item)
+
+
+def test_months_are_told_apart(spark):
+    rows = [(u, i, r, ts + timedelta(days=40 * (u % 3))) for u, i, r, ts in visits(3)]
+    keyed = [((i, ts.year, ts.month), u) for u, i, r, ts in rows]
+    assert len({k[1:] for k, _ in keyed}) > 3
+    assert found(pairs(same_month(frame(spark, rows)))) == shared(keyed)
+
+
+def test_two_datasets_are_the_union_of_both(spark):
+    x = frame(spark, visits(1)).withColumn("dataset", F.lit("x"))
+    y = frame(spark, visits(2)).withColumn("dataset", F.lit("y"))
+    both = x.unionByName(y)
+    for build in (co_user, co_item, same_rating, same_month, rating_within_days):
+        together = pairs(build(both))
+        apart = pairs(build(x)).unionByName(pairs(build(y)))
+        assert together.exceptAll(apart).isEmpty() and apart.exceptAll(together).isEmpty()
+    together = union_members(all_relations(both))
+    apart = union_members(all_relations(x)).unionByName(union_members(all_relations(y)))
+    assert together.exceptAll(apart).isEmpty() and apart.exceptAll(together).isEmpty()
+
+
+def overlap(texts, percent):
+    sets, first = {}, {}
+    for d, text in sorted(texts):
+        tokens = frozenset(t for t in (text or "").lower().split(" ") if t)
+        if tokens:
+            sets[d] = tokens
+            first.setdefault(tokens, d)
+    classes = {d: first[t] for d, t in sets.items()}
+    want = {}
+    for a, b in combinations(sorted(set(classes.values())), 2):
+        w = len(sets[a] & sets[b])
+        if 100 * w >= percent * len(sets[a] | sets[b]):
+            want[a, b] = w
+    return classes, want
+
+
+TEXTS = [
+    (0, "Red green  blue sun"),
+    (1, "red GREEN blue moon"),
+    (2, "red green moon star"),
+    (3, "red red red"),
+    (4, "sun moon star blue green"),
+    (5, ""),
+    (6, None),
+    (7, "blue red green sun sun"),
+    (8, "moon red blue green"),
+]
+
+
+@pytest.mark.parametrize("percent", [1, 40, 50, 60, 100])
+def test_tokens_by_brute_force(spark, percent):
+    df = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    got = text_overlap(df, percent, 2)
+    classes, want = overlap(TEXTS, percent)
+    assert {r.doc_id: r.class_id for r in got.classes.collect()} == classes
+    assert found(got.pairs) == want
+
+
+def test_more_texts_never_take_an_edge_away(spark):
+    more = TEXTS + [(100 + k, f"red green blue moon sun star w{k} v{k} x{k} y{k} z{k} q{k}") for k in range(60)]
+    few = found(text_overlap(spark.createDataFrame(TEXTS, "doc_id bigint, text string")).pairs)
+    many = found(text_overlap(spark.createDataFrame(more, "doc_id bigint, text string")).pairs)
+    assert few and few.items() <= many.items()
 
 
 def test_relations_nest(spark):
     a = interactions_a(spark, SMALL)
-    users = co_user(a).pairs.select("src", "dst")
-    rating = same_rating(a).pairs.select("src", "dst")
+    users, rating, month, days = (
+        pairs(build(a)).select("src", "dst") for build in (co_user, same_rating, same_month, rating_within_days)
+    )
     assert rating.join(users, ["src", "dst"], "left_anti").isEmpty()
-    month = same_month(a).pairs.select("src", "dst")
     assert month.join(users, ["src", "dst"], "left_anti").isEmpty()
-    days = rating_within_days(a).pairs.select("src", "dst")
     assert days.join(rating, ["src", "dst"], "left_anti").isEmpty()
 
 
-def test_one_shuffle_per_step_and_the_limit_before_it(spark):
-    plan = co_user(interactions_a(spark, SMALL)).pairs._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 3  # distinct rows, by item, by pair
-    exchange = plan.index("Exchange hashpartitioning(i#")
-    assert "WindowGroupLimit" in plan[exchange:]
+def test_the_scan_is_pruned_and_nothing_is_crossed(spark):
+    plan = pairs(co_user(interactions_a(spark, SMALL)))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan

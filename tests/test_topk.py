@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators.relations import co_user, rating_within_days, same_rating
 from graphloom.operators.topk import topk_neighbours
@@ -19,10 +20,14 @@ def brute_force(weight, k):
     }
 
 
+def ranking(df):
+    return {(r.node, r.rank, r.neighbour, r.w) for r in df.collect()}
+
+
 @pytest.mark.parametrize("limit", [2, 5, 20, 256])
 def test_the_hub_limit_does_not_change_the_ranking(spark, limit):
     rows = visits(3)
-    got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), limit), 5).collect()}
+    got = ranking(topk_neighbours(co_user(frame(spark, rows)), 5, limit))
     assert got == brute_force(shared([(i, u) for u, i, r, ts in rows]), 5)
 
 
@@ -33,19 +38,19 @@ def test_random_tables(spark, seed):
     rows = [(u, i, 1, None) for u in range(users) for i in range(items) if rng.random() < share]
     weight = shared([(i, u) for u, i, r, ts in rows])
     for k, limit in ((1, 2), (3, rng.choice([3, 6, 10, 15]))):
-        got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), limit), k).collect()}
+        got = ranking(topk_neighbours(co_user(frame(spark, rows)), k, limit))
         assert got == brute_force(weight, k)
 
 
 def test_one_hub_holds_everybody(spark):
     rows = [(u, 0, 1, None) for u in range(50)] + [(u, u % 7 + 1, 1, None) for u in range(0, 50, 3)]
-    got = {tuple(r) for r in topk_neighbours(co_user(frame(spark, rows), 10), 3).collect()}
+    got = ranking(topk_neighbours(co_user(frame(spark, rows)), 3, 10))
     assert got == brute_force(shared([(i, u) for u, i, r, ts in rows]), 3)
 
 
 def test_composite_keys(spark):
     rows = visits(4)
-    got = {tuple(r) for r in topk_neighbours(same_rating(frame(spark, rows), 5), 4).collect()}
+    got = ranking(topk_neighbours(same_rating(frame(spark, rows)), 4, 5))
     keyed = [((i, r), u) for u, i, r, ts in rows if r is not None]
     assert got == brute_force(shared(keyed), 4)
 
@@ -53,3 +58,13 @@ def test_composite_keys(spark):
 def test_days_have_no_weight(spark):
     with pytest.raises(ValueError):
         topk_neighbours(rating_within_days(frame(spark, visits(4))))
+
+
+def test_datasets_do_not_meet(spark):
+    rows = visits(3)
+    x = frame(spark, rows).withColumn("dataset", F.lit("x"))
+    both = x.unionByName(x.withColumn("dataset", F.lit("y")))
+    want = brute_force(shared([(i, u) for u, i, r, ts in rows]), 5)
+    for limit in (5, 256):
+        got = topk_neighbours(co_user(both), 5, limit)
+        assert ranking(got.where("dataset = 'x'")) == ranking(got.where("dataset = 'y'")) == want
