@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.scratch import materialize
 
-__all__ = ["ascii_lower", "checked_broadcast", "fold", "materialize", "table"]
+__all__ = ["ascii_lower", "checked_broadcast", "fold", "materialize", "small_batches", "table"]
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500  # texts that go to a Python worker at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +35,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 def checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast ``df`` if its counted ``rows`` are within ``limit``; else leave it to a shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to hand at most ``BATCH_ROWS`` rows to Python at once.
+
+    Texts can be long, and the default of 10,000 of them is too much for a small executor. The
+    setting is the session's, as Spark reads it when the query runs.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df

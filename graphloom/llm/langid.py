@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold
+from graphloom.llm.common import fold, small_batches
 
 FOLDS, HELD = 4, 2
 SAMPLE = 20_000  # documents that the model learns from at most
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     everything where nothing was learned. Ties go to the first language by name. Columns of these
     names that ``docs`` already has are replaced, all others stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

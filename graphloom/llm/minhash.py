@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
-from graphloom.llm.common import checked_broadcast, materialize
+from graphloom.llm.common import checked_broadcast, materialize, small_batches
 from graphloom.llm.components import components
 
 WORDS = 5  # words of a shingle
@@ -64,7 +64,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_known) > 500_000:
+    if len(_known) > 150_000:
         _known.clear()
     for w in words:
         if w not in _known:
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and is linked with nothing. Rows without an id take no part: component null, kept. Rows that
     repeat an id are one document if their texts agree; else each has the component of its text.
     """
-    clean = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    clean = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = clean.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         _signed, "doc_id bigint, text_hash bigint, n bigint, set_hash binary, sign binary"
     )

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import small_batches
 from graphloom.llm.tokens import encoder
 
 WINDOW = 2048
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
 
         yield from _batches(_rows(windows(), first))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def _batches(rows: Iterator[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:

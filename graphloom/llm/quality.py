@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold
+from graphloom.llm.common import fold, small_batches
 from graphloom.llm.gbt import Trees, fit_trees
 from graphloom.llm.supervised import SAMPLE, training_rows
 
@@ -81,7 +81,7 @@ def matrix(texts: list[str | None]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled documents outside the held-out fold; their statistics
     are computed on the executors and collected, as the sample is bounded."""
-    rows = training_rows(docs, labels, "quality", folds, held, sample)
+    rows = training_rows(small_batches(docs), labels, "quality", folds, held, sample)
 
     @F.pandas_udf("array<double>")
     def run(text: pd.Series) -> pd.Series:
@@ -98,7 +98,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
     Every text is scored whole; a null or empty one by the statistics of an empty text. Columns of
     these names that ``docs`` already has are replaced, all others stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand nodes
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # a few thousand nodes
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -25,7 +25,7 @@ _UNEVEN = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"]
 _CUT = "\x1c"  # in no text that is cut, as it is one of the odd ones
 _PIECE = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?*#%&$|)\"]*)")
-_CACHE = 300_000  # words in the younger half of the cache of a worker
+_CACHE = 100_000  # words in the younger half of the cache of a worker
 _loaded: dict[str, Encoder] = {}
 
 

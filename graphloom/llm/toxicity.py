@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold
+from graphloom.llm.common import fold, small_batches
 from graphloom.llm.gbt import Isotonic, Trees, fit_isotonic, fit_trees
 from graphloom.llm.supervised import SAMPLE, training_rows
 
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
     the trees do not trust terms more than new texts bear out. Trees are fitted on three quarters
     of the sample and calibrated on the last quarter. The sample is bounded, so it is collected.
     """
-    rows = training_rows(docs, labels, "toxic", folds, held, sample)
+    rows = training_rows(small_batches(docs), labels, "toxic", folds, held, sample)
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int")
     rows = rows.withColumn("part", part).persist()
     halves = [lexicon(rows.filter(F.col("part") % 2 == 1 - h), max(2, LEAST // 2)) for h in (0, 1)]
@@ -153,7 +153,7 @@ def _feature_column(terms: Callable[[int], dict[str, float]]) -> Callable:
 
 def scorer(docs: DataFrame, model: Model) -> Column:
     """The score of each row of ``docs``; the model is bounded by TERMS and the trees."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

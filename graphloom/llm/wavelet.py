@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import small_batches
 from graphloom.llm.tokens import encoder
 from graphloom.scratch import scratch_path
 
@@ -210,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, limit: int
     order of their texts; rows without an id come first. An empty table gives no shard. Documents
     are dealt by ranges of ids; a task holds the tokens of one shard at a time.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(lambda batches: _shards(batches, tokenizer, end, limit), SHARDS)
     shards.write.option("compression", "none").parquet(path)
