@@ -1,0 +1,67 @@
+"""Registered queries against their SQL, the pipeline, and what the library imports."""
+
+import ast
+from pathlib import Path
+
+import pytest
+
+import corpus_pipeline
+from graphloom.llm import queries as llm
+from tests.conftest import SMALL, TINY
+from tests.llm import brute
+from tests.oracle import connect, difference
+
+ROOT = Path(__file__).resolve().parents[2]
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_matches_sql(spark, name):
+    assert difference(llm.queries()[name](spark, TINY), connect(TINY), llm.oracle_sql()[name]) is None
+
+
+def test_one_query_for_each_operator():
+    assert {int(n.split("_")[0][2:]) for n in llm.queries()} == set(range(1, 11))
+
+
+def test_stages_one_by_one(spark, monkeypatch):
+    """Each stage works on what the one before kept, and does what the plain rule says."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = corpus_pipeline.materialize(stage(spark, docs, SMALL), name)
+        seen[name] = (before, docs.collect())
+        assert name == "packing" or docs.columns == columns
+    ids = {name: {r.doc_id for r in after} for name, (_, after) in seen.items()}
+    before, after = seen["exact_dedup"]
+    groups = {}
+    for d, t in sorted(before.items()):
+        groups.setdefault(brute.WHITE.sub(" ", t), d)
+    assert ids["exact_dedup"] == set(groups.values())
+    before, _ = seen["minhash"]
+    assert ids["minhash"] == set(brute.components(list(before.items())).values())
+    before, _ = seen["decontaminate"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    windows = {" ".join(w[k : k + 10]) for _, t in items for w in [words(t)] for k in range(max(1, len(w) - 9))}
+    dirty = {d for d, t in before.items() for w in [words(t)] if any(" ".join(w[k : k + 10]) in windows for k in range(len(w)))}
+    assert dirty and ids["decontaminate"] == set(before) - dirty
+    assert ids["packing"] == ids["decontaminate"]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    gone = set(seen["toxicity"][0]) - ids["toxicity"]
+    assert sum(labels.get(d, 1) for d in gone) >= 0.95 * len(gone) > 0
+
+
+def words(text):
+    import re
+
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", brute.lower(text or ""))
+
+
+def test_nothing_else_imports_the_subpackage():
+    for path in (ROOT / "graphloom").rglob("*.py"):
+        if "llm" in path.relative_to(ROOT).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else []
+            names += [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+            assert not any("llm" in n for n in names), path

@@ -1,0 +1,142 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import packing, wavelet
+from graphloom.llm.tokens import Encoder
+from tests.llm.conftest import AWKWARD, prose
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return Encoder(PATH, cache=50)
+
+
+def test_cached_words_give_the_ids_of_the_library(encoder):
+    alphabet = [
+        "a", "b", "é", "ß", "ͅ", " ", "\n", "  ", "\t", ".", ",", "'s", "'", "1", "٣", "\x1c", "\xa0", " ",
+        "　", "᠎", "﻿", "!", "word", "Ⅷ", "<|endoftext|>", "😀", "\r\n", "中文", "***", "ª",
+    ]
+    rng = random.Random(2)
+    for _ in range(10):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(300)]
+        texts += [prose(rng.randrange(99), 40), *(t or "" for _, t in AWKWARD)]
+        assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def ids_of(encoder, rows, end):
+    return {d: encoder.whole([t or ""])[0] + np.array([end], "<u4").tobytes() for d, t in rows}
+
+
+def lengths():
+    rng = random.Random(4)
+    return [(d, prose(d, rng.choice([3, 40, 300, 900, 2500]))) for d in range(60)] + AWKWARD
+
+
+def test_pieces_hold_every_id_once(docs, encoder):
+    rows = lengths()
+    want = ids_of(encoder, rows, packing.END)
+    pieces = packing.pack(docs(rows), PATH).collect()
+    found, windows = {}, {}
+    for p in sorted(pieces, key=lambda p: p.start):
+        assert len(p.ids) == 4 * p.length > 0
+        done = found.setdefault(p.doc_id, [])
+        assert p.start == sum(len(x) // 4 for x in done) and p.doc_tokens == len(want[p.doc_id]) // 4
+        done.append(bytes(p.ids))
+        windows.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert {d: b"".join(x) for d, x in found.items()} == want
+    fills = []
+    for window in windows.values():
+        at = 0
+        for offset, length in sorted(window):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+        fills.append(at)
+    assert sum(f < packing.WINDOW for f in fills) <= 3  # at most one for each of three partitions
+
+
+def test_pieces_of_little(docs):
+    assert packing.pack(docs([]), PATH).collect() == []
+    got = packing.pack(docs([(None, None), (1, ""), (1, "")], 1), PATH).collect()
+    assert [(p.doc_id, p.length, p.offset) for p in got] == [(None, 1, 0), (1, 1, 1), (1, 1, 2)]
+
+
+def test_the_rule_of_squares():
+    """Each placement is the one that a search over all levels finds."""
+    rng = random.Random(6)
+    packer, fast = packing.SumOfSquares(64, 10**9), []
+    counts = np.zeros(65, np.int64)
+    for n in range(400):
+        size = rng.randrange(1, 64)
+        best = None
+        for level in range(0, 64 - size + 1):
+            if level and not counts[level]:
+                continue
+            new = counts.copy()
+            if level:
+                new[level] -= 1
+            if level + size < 64:
+                new[level + size] += 1
+            key = (int((new**2).sum()), -level)
+            best = min(best, (key, level, new), key=lambda b: b[0]) if best else (key, level, new)
+        fast += list(packer.add((n, 0, bytes(4 * size), size)))
+        counts = best[2]
+        assert (packer.count == counts).all()
+    assert all(sum(len(p[2]) for p in w) == 4 * 64 for w in fast)
+
+
+def test_few_open_windows_lose_nothing():
+    packer = packing.SumOfSquares(64, 3)
+    rng = random.Random(7)
+    sizes = [rng.randrange(1, 64) for _ in range(300)]
+    windows = [w for n, s in enumerate(sizes) for w in packer.add((n, 0, bytes(4 * s), s))] + list(packer.finish())
+    assert sum(len(p[2]) for w in windows for p in w) == 4 * sum(sizes)
+    assert sum(sum(len(p[2]) for p in w) < 4 * 64 for w in windows) <= 1
+
+
+@pytest.mark.parametrize("size", [0, 1, 511, 512, 513, 3000])
+def test_wavelet_matrix_by_brute_force(size):
+    rng = np.random.default_rng(size)
+    ids = rng.choice([0, 1, 2, 5, 700, 50256], size).astype("<u4")
+    shard = wavelet.Shard(wavelet.write_shard([3, None], np.array([size // 2, size - size // 2]), ids))
+    assert (shard.tokens() == ids).all() and shard.doc_ids == [3, None]
+    assert shard.starts.tolist() == [0, size // 2, size]
+    for at in rng.integers(0, size, 40) if size else ():
+        assert shard.access(int(at)) == ids[at]
+        assert shard.rank(5, int(at)) == (ids[:at] == 5).sum()
+    for token in (0, 1, 2, 3, 5, 700, 50256, 10**6):
+        want = np.flatnonzero(ids == token)
+        assert shard.count(token) == len(want)
+        if len(want) < 600:
+            assert shard.places(token) == want.tolist()
+    with pytest.raises(IndexError):
+        shard.select(3, 0)
+    with pytest.raises(ValueError):
+        wavelet.Shard(b"something else")
+
+
+@pytest.mark.parametrize("limit", [1, 500, 10**6])
+def test_shards_give_back_all_documents(spark, docs, encoder, tmp_path, limit):
+    rows = lengths()
+    path = str(tmp_path / "shards")
+    wavelet.write(docs(rows), PATH, path, limit=limit)
+    shards = spark.read.parquet(path)
+    got = sorted(wavelet.read_documents(shards).collect())
+    want, start = ids_of(encoder, rows, wavelet.END), 0
+    for r, d in zip(got, sorted(want), strict=True):
+        assert tuple(r) == (d, start, len(want[d]) // 4, zlib.crc32(want[d]))
+        start += len(want[d]) // 4
+    assert shards.agg(F.sum("n_tokens")).first()[0] == start
+
+
+def test_shards_of_little(docs):
+    assert wavelet.op7(docs([]), PATH).collect() == []
+    got = wavelet.op7(docs([(4, "b"), (None, None), (4, "a"), (4, "a")]), PATH).collect()
+    assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in got) == [("4", 1, 2), ("4", 3, 2), ("4", 5, 2), ("None", 0, 1)]
