@@ -15,7 +15,9 @@ def _with_smallest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) for every id in links (a, b): the smallest id that can be reached.
+    """(id, label) for the ids in links (a, b): the smallest id that can be reached.
+
+    The smallest ids themselves are left out, as is any id that only links to itself.
 
     Large and small stars in turn: each node hangs its larger neighbours, then its smaller ones, on
     the smallest. Links only shrink towards stars, and after a number of rounds that grows with the

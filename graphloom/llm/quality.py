@@ -74,8 +74,11 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+WIDTH = len(statistics(""))
+
+
 def matrix(texts: list[str | None]) -> np.ndarray:
-    return np.array([statistics(t or "") for t in texts], float).reshape(len(texts), -1)
+    return np.array([statistics(t or "") for t in texts], float).reshape(len(texts), WIDTH)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Trees:
@@ -88,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
         return pd.Series([statistics(t or "") for t in text])
 
     data = rows.select("doc_id", "label", run("text").alias("x")).orderBy("doc_id").toPandas()
-    x = np.array(data["x"].tolist(), float).reshape(len(data), -1)
+    x = np.array(data["x"].tolist(), float).reshape(len(data), WIDTH)
     return fit_trees(x, data["label"].to_numpy(float))
 
 

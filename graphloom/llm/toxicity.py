@@ -49,7 +49,7 @@ class Model:
 
 def features(texts: list[str | None], terms: dict[str, float]) -> np.ndarray:
     """One row of dense numbers for each text; zeros for a null or empty one."""
-    return np.array([_features(t or "", terms) for t in texts], float).reshape(len(texts), -1)
+    return np.array([_features(t or "", terms) for t in texts], float).reshape(len(texts), WIDTH)
 
 
 def _features(text: str, terms: dict[str, float]) -> list[float]:
@@ -97,6 +97,9 @@ def _has_masks(text: str) -> bool:
     return any(c in text for c in "@$*") or any(d in text for d in "013457")
 
 
+WIDTH = len(_features("", {}))
+
+
 def lexicon(rows: DataFrame, least: int = LEAST, limit: int = TERMS) -> dict[str, float]:
     """Terms that stand in toxic texts far more often than in others, with their log odds.
 
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
     shape = rows.select("doc_id", "label", "part", _feature_column(lambda p: halves[p % 2])("text", "part").alias("x"))
     data = shape.orderBy("doc_id").toPandas()
     rows.unpersist()
-    x = np.array(data["x"].tolist(), float).reshape(len(data), -1)
+    x = np.array(data["x"].tolist(), float).reshape(len(data), WIDTH)
     y = data["label"].to_numpy(float)
     late = data["part"].to_numpy() == 3
     trees = fit_trees(x[~late], y[~late])
