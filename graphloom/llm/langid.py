@@ -25,6 +25,14 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters in lower case; other signs that Python takes for word characters are cut."""
+    words = _WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [p for w in words for p in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 @dataclass(frozen=True)
 class Model:
     """Log frequencies per language; row k of a table belongs to the entry with value k."""
@@ -62,7 +70,7 @@ class Scorer:
         count = len(self.model.languages)
         if self.size > len(self.model.word_rows) + CACHE:
             self._reset()
-        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        found = [_words(t) if t else [] for t in texts]
         new = set()
         for words in found:
             new.update(filterfalse(self.row.__contains__, words))

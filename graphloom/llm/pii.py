@@ -254,12 +254,12 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         name = F.concat_ws("|", "kind", "value")
         of_text = (
             units.join(checked_broadcast(exceptions, n, BROADCAST_ROWS), ["kind", "value"])
-            .groupBy("text_key")
+            .groupBy(F.col("text_key").alias("_text_key"))
             .agg(F.map_from_entries(F.collect_set(F.struct(name, "attempt"))).alias("_tries"))
         )
         of_text = materialize(of_text, "tries")
         of_text = checked_broadcast(of_text, of_text.count(), BROADCAST_ROWS)
-        marked = marked.join(of_text, F.xxhash64(text) == F.col("text_key"), "left").drop("text_key")
+        marked = marked.join(of_text, F.xxhash64(text) == F.col("_text_key"), "left").drop("_text_key")
     else:
         marked = marked.withColumn("_tries", F.lit(None).cast("map<string,int>"))
 

@@ -66,7 +66,7 @@ def test_languages_of_awkward_rows(spark, docs):
     got = langid.op9(docs([*AWKWARD, (None, "text")])).collect()
     assert len(got) == len(AWKWARD) + 1 and {r.lang_pred for r in got} == {"und"}
     rows = [(d, "der die das und" if d % 2 else "the of and", "de" if d % 2 else "en") for d in range(40)]
-    rows += [(d, t, None) for d, t in AWKWARD] + [(50, "undder", None), (51, "4 5 !", None)]
+    rows += [(d, t, None) for d, t in AWKWARD] + [(50, "undder", None), (51, "4 5 ! ² Ⅷ", None)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     found = {r.doc_id: (r.lang_pred, r.score) for r in langid.op9(table).collect()}
     assert found[900] == found[901] == found[51] == ("und", 0.0)

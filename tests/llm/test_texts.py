@@ -106,6 +106,9 @@ def test_surrogates_keep_kind_form_and_coreference(docs):
     assert surname == surname2 == surname3 and male != female
     assert re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+$", got[5].text)
     assert got[2].kinds == ["card", "phone"] and got[2].n_entities == 4
+    clash = docs(rows).withColumn("text_key", F.lit(7)).withColumn("kinds", F.lit("own"))
+    again = pii.replace(clash, "k")
+    assert {r.doc_id: (r.text, r.text_key) for r in again.collect()} == {d: (r.text, 7) for d, r in got.items()}
     other = {r.doc_id: r.text for r in pii.replace(docs(PERSONAL), "another key").collect()}
     assert all(other[d] != got[d].text for d in (1, 2, 4, 5, 6))
 
