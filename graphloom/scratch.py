@@ -1,16 +1,30 @@
 """Tables written between stages, to cut lineage so that lost executors cost little."""
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_roots: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; there is no other."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (master ``local``) gets a temporary folder, which its
+    threads share; any other must name one.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    if shared:
+        return shared
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
-    return shared
+    app = context.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="graphloom-")
+    return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
