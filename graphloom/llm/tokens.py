@@ -9,10 +9,10 @@ where the library and Python could disagree on what white space is, go to the li
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable
 from itertools import filterfalse
 
-import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: white space other than the ASCII kind, and characters that some engines count as such
@@ -25,7 +25,7 @@ _UNEVEN = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"]
 _CUT = "\x1c"  # in no text that is cut, as it is one of the odd ones
 _PIECE = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?*#%&$|)\"]*)")
-_CACHE = 100_000  # words in the younger half of the cache of a worker
+_CACHE = 150_000  # words in the younger half of the cache of a worker
 _loaded: dict[str, Encoder] = {}
 
 
@@ -36,6 +36,10 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Same ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
@@ -54,6 +58,7 @@ class Encoder:
             and self.library.normalizer is None
         )
         self.model = self.library.model
+        self.blank = self._byte_level(" ")
         latin = [chr(c) for c in range(256)]
         encoded = [self._byte_level(c) for c in latin]
         self.table = str.maketrans({c: e for c, e in zip(latin, encoded) if e is not None})
@@ -69,7 +74,7 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [_packed(x.ids) for x in found]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -121,5 +126,8 @@ class Encoder:
         words.update(zip(rest, self.whole(rest)))
 
     def _word(self, word: str) -> bytes:
-        coded = word.encode().decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
+        if word.isascii():
+            coded = word.replace(" ", self.blank)
+        else:
+            coded = word.encode().decode("latin-1").translate(self.table)
+        return _packed([t.id for t in self.model.tokenize(coded)])
