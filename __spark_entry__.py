@@ -255,7 +255,7 @@ def _graph_queries() -> dict[str, Query]:
         "rel_text_overlap": lambda spark, sf_dir: _text(spark, sf_dir).pairs,
         "text_classes": lambda spark, sf_dir: _text(spark, sf_dir).classes,
         "topk_neighbours": _a(lambda a: topk_neighbours(relations.co_user(a))),
-        "topk_neighbours_b": _b(lambda b: topk_neighbours(relations.co_user(b), hub=64)),
+        "topk_neighbours_b": _b(lambda b: topk_neighbours(relations.co_user(b))),
         "union_relations": _union_relations,
         "node_features": _a(nodes.node_features),
         "node_features_b": _b(nodes.node_features),
@@ -305,7 +305,7 @@ _TEXT = f"""
     t AS (SELECT id, len(tokens) AS n, unnest(tokens) AS token FROM c)
     SELECT a.id AS src, b.id AS dst, count(*) AS w
     FROM t a JOIN t b ON a.token = b.token AND a.id < b.id
-    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 50"""
+    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 75"""
 
 
 def _members_sql(source: str, columns: str) -> str:

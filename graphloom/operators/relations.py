@@ -105,7 +105,7 @@ class TextOverlap(NamedTuple):
     classes: DataFrame
 
 
-def text_overlap(documents: DataFrame, percent: int = 50, tile: int = TILE) -> TextOverlap:
+def text_overlap(documents: DataFrame, percent: int = 75, tile: int = TILE) -> TextOverlap:
     """Texts whose token sets have at least ``percent`` of their union in common.
 
     ``classes`` says for each text which text stands for its token set: the smallest id with equal

@@ -126,8 +126,9 @@ def test_tokens_by_brute_force(spark, percent):
 
 def test_more_texts_never_take_an_edge_away(spark):
     more = TEXTS + [(100 + k, f"red green blue moon sun star w{k} v{k} x{k} y{k} z{k} q{k}") for k in range(60)]
-    few = found(text_overlap(spark.createDataFrame(TEXTS, "doc_id bigint, text string")).pairs)
-    many = found(text_overlap(spark.createDataFrame(more, "doc_id bigint, text string")).pairs)
+    few, many = (
+        found(text_overlap(spark.createDataFrame(t, "doc_id bigint, text string"), 50).pairs) for t in (TEXTS, more)
+    )
     assert few and few.items() <= many.items()
 
 
