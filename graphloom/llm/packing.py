@@ -147,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
             yield from packer.finish()
 
         yield from _batches(_rows(windows(), first))
+        encoder(tokenizer).rest()
 
     return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

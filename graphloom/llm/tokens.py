@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable
-from itertools import filterfalse
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -25,7 +25,8 @@ _UNEVEN = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"]
 _CUT = "\x1c"  # in no text that is cut, as it is one of the odd ones
 _PIECE = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?*#%&$|)\"]*)")
-_CACHE = 150_000  # words in the younger half of the cache of a worker
+_CACHE = 300_000  # words in the younger half of the cache during a task
+_KEPT = 100_000  # words that a worker keeps between tasks, the ones it met first
 _loaded: dict[str, Encoder] = {}
 
 
@@ -50,8 +51,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.cache = cache
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = _Words(self._ids)
         self.cuts = (
             isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel)
             and isinstance(self.library.model, models.BPE)
@@ -80,12 +80,10 @@ class Encoder:
         """Ids of each text as little-endian 32-bit integers."""
         texts = list(texts)
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
         odd: list[int] = []
-        new: set[str] = set()
         if len(self.words) > self.cache:
-            self.old, self.words = self.words, {}
-        known = self.words.__contains__
+            self.words = _Words(self._ids, self.words)
+        ids = self.words.__getitem__
         for n, text in enumerate(texts):
             if not text:
                 continue
@@ -97,33 +95,22 @@ class Encoder:
             else:
                 marked = text.replace("\n", _CUT + "\n" + _CUT).replace(" ", _CUT + " ")
                 pieces = marked.split(_CUT)
-            cut.append((n, pieces))
-            new.update(filterfalse(known, pieces))
-        self._learn(new)
-        ids = self.words.__getitem__
-        for n, pieces in cut:
             out[n] = b"".join(map(ids, pieces))
         for n, whole in zip(odd, self.whole([texts[n] for n in odd])):
             out[n] = whole
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of pieces; a word and the marks after it are apart for the library too."""
-        words, old, rest = self.words, self.old, []
-        for piece in new:
-            if piece in old:
-                words[piece] = old[piece]
-            elif match := _SIMPLE.fullmatch(piece):
-                stem, marks = match.groups()
-                ids = words.get(stem) or old.get(stem) or self._word(stem)
-                if marks:
-                    end = words.get(marks) or old.get(marks) or self.whole([marks])[0]
-                    words[stem], words[marks] = ids, end
-                    ids += end
-                words[piece] = ids
-            else:
-                rest.append(piece)
-        words.update(zip(rest, self.whole(rest)))
+    def rest(self) -> None:
+        """At the end of a task: keep the words that were met first, which tend to be frequent ones."""
+        self.words = _Words(self._ids, None, islice(self.words.items(), _KEPT))
+
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a piece; a word and the marks after it are apart for the library too."""
+        match = _SIMPLE.fullmatch(piece)
+        if not match:
+            return self.whole([piece])[0]
+        stem, marks = match.groups()
+        return self.words[stem] + self.words[marks] if marks else self._word(stem)
 
     def _word(self, word: str) -> bytes:
         if word.isascii():
@@ -131,3 +118,20 @@ class Encoder:
         else:
             coded = word.encode().decode("latin-1").translate(self.table)
         return _packed([t.id for t in self.model.tokenize(coded)])
+
+
+class _Words(dict):
+    """Ids by piece; what is missing is taken from an older cache, or made."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict | None = None, known: Iterable = ()):
+        super().__init__(known)
+        self.make, self.old = make, {} if old is None else old
+        if old is not None:
+            old.old = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = dict.get(self.old, piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids

@@ -202,6 +202,7 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, limit:
                 size += len(raw) // 4 + 1
     if ids:
         yield made()
+    encoder(tokenizer).rest()
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, limit: int = TOKENS) -> None:
