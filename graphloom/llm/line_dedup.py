@@ -78,16 +78,17 @@ def longest_earlier(made: list[DataFrame]) -> DataFrame:
         asked = asked.join(here, "at", "left").join(there, "from", "left")
         asked = materialize(asked.select("place", "size", "first", "mine", "theirs"), "steps")
         group = F.struct("first", "size", "mine").alias("group")
-        low = asked.filter("mine IS NOT NULL").groupBy(group).agg(F.min("place").alias("low"))
-        asked = asked.withColumn("group", F.struct("first", "size", "mine"))
-        asked = asked.join(low, "group", "left")
+        ended = asked.filter("mine IS NULL").select("place", "size", "first")
+        asked = asked.filter("mine IS NOT NULL").withColumn("group", F.struct("first", "size", "mine"))
+        low = asked.groupBy("group").agg(F.min("place").alias("low"))
+        asked = asked.join(low, "group")
         as_first = F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))
-        accepted = as_first | F.coalesce(F.col("low") < F.col("place"), F.lit(False))
+        accepted = as_first | (F.col("low") < F.col("place"))
         state = asked.select(
             "place",
             F.when(accepted, F.col("size") + 2**k).otherwise(F.col("size")).alias("size"),
             F.when(as_first | ~accepted, F.col("first")).otherwise(F.col("low")).alias("first"),
-        )
+        ).unionByName(ended)
         state = materialize(state, "state")
     return state.select("place", "size")
 
