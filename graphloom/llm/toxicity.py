@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,7 @@ def features(texts: list[str | None], terms: dict[str, float]) -> np.ndarray:
 def _features(text: str, terms: dict[str, float]) -> list[float]:
     words = _WORD.findall(text)
     low = [w.lower() for w in words]
+    counts = Counter(low)
     n, chars = max(1, len(words)), max(1, len(text))
     hits = [k for k, w in enumerate(low) if w in terms or w in SEED]
     learned = [terms.get(low[k], 0.0) for k in hits]
@@ -88,7 +90,7 @@ def _features(text: str, terms: dict[str, float]) -> list[float]:
         len(spelt) / n,
         masked,
         masked / n,
-        sum(w in YOU for w in low) / n if len(low) < 400 else sum(map(low.count, ("you", "your", "du", "tu", "te"))) / n,
+        sum(map(counts.__getitem__, YOU)) / n,
         np.log1p(len(words)),
     ]
 

@@ -62,6 +62,13 @@ def test_awkward_rows_are_scored(spark, docs):
     assert toxicity.clean(table, model).columns == table.columns
 
 
+def test_second_person_density_holds_at_any_length():
+    for word in sorted(toxicity.YOU):
+        text = f"{word} one two three four "
+        short, long = (toxicity.features([text * n], {})[0] for n in (10, 500))
+        assert short[21] == long[21] == 0.2, word
+
+
 def test_languages_of_awkward_rows(spark, docs):
     got = langid.op9(docs([*AWKWARD, (None, "text")])).collect()
     assert len(got) == len(AWKWARD) + 1 and {r.lang_pred for r in got} == {"und"}
