@@ -34,7 +34,9 @@ YOU = frozenset(
 )
 _WORD = re.compile(r"[^\W_]+")
 _LEET = str.maketrans("013457@$!", "oleastasi")
-_MASKED = re.compile(r"(?<![^\W_])(?=[^\s]*[^\W\d_])(?=[^\s]*[0-9@$*!])[\w@$*!]*[0-9@$*!][\w@$*!]*[^\W\d_][\w@$*!]*")
+_MASK = re.compile(r"[0-9@$*!]")
+# a run of word characters and marks with a letter behind its first mark; possessive, so linear
+_MASKED = re.compile(r"(?<![\w@$*!])[^\W0-9]*+[0-9@$*!][\d_@$*!]*+[^\W\d_][\w@$*!]*+")
 _SPELT = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[-.*_ ][^\W\d_]){3,}(?=\s|$|[.,!?])")
 
 
@@ -64,8 +66,8 @@ def _features(text: str, terms: dict[str, float]) -> list[float]:
     near = 0
     if hits:
         near = sum(not YOU.isdisjoint(low[max(0, k - NEAR) : k + NEAR + 1]) for k in hits)
-    hidden = [m.translate(_LEET).lower() for m in _MASKED.findall(text)] if hits or _has_masks(text) else []
-    spelt = [re.sub(r"[-.*_ ]", "", m).lower() for m in _SPELT.findall(text)] if hits or len(text) < 100_000 else []
+    hidden = [m.translate(_LEET).lower() for m in _MASKED.findall(text)] if _MASK.search(text) else []
+    spelt = [re.sub(r"[-.*_ ]", "", m).lower() for m in _SPELT.findall(text)]
     masked = sum(m in terms or m in SEED for m in hidden + spelt)
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     return [
@@ -95,10 +97,6 @@ def _features(text: str, terms: dict[str, float]) -> list[float]:
     ]
 
 
-def _has_masks(text: str) -> bool:
-    return any(c in text for c in "@$*") or any(d in text for d in "013457")
-
-
 WIDTH = len(_features("", {}))
 
 

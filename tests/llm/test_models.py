@@ -69,6 +69,23 @@ def test_second_person_density_holds_at_any_length():
         assert short[21] == long[21] == 0.2, word
 
 
+@pytest.mark.parametrize("mark", list("0123456789@$*!"))
+def test_masked_words_are_found_by_any_mark(mark):
+    found = toxicity.features([f"you are an id{mark}ot", f"you are an id{mark}ot " + "and so on " * 11_000], {})
+    assert (found[:, 17] > 0).all()
+    assert (found[:, 19] == (mark == "!")).all()  # only ! stands for an i
+
+
+def test_spelt_words_are_found_in_long_texts():
+    short, long = toxicity.features(["i-d-i-o-t", "and so on " * 11_000 + "i-d-i-o-t"], {})
+    assert short[18] > 0 and long[18] > 0 and short[19] == long[19] == 1
+
+
+def test_disguises_take_no_quadratic_time():
+    texts = ["_" * 100_000 + " 2", "a" + "1" * 100_000, "a-" * 50_000 + " 2", "a " * 50_000, "!" * 100_000 + "a"]
+    assert [x[17] > 0 for x in toxicity.features(texts, {})] == [False, False, False, False, True]
+
+
 def test_languages_of_awkward_rows(spark, docs):
     got = langid.op9(docs([*AWKWARD, (None, "text")])).collect()
     assert len(got) == len(AWKWARD) + 1 and {r.lang_pred for r in got} == {"und"}
