@@ -96,6 +96,7 @@ def _build_shard(keys: pd.DataFrame) -> pd.DataFrame:
 
 def _look_up(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """The asked digests with what the index says; ``known`` only where all 32 bytes are equal."""
+    slot = np.full(len(asked), -1, np.int64)
     winner = np.full(len(asked), None, object)
     known = np.zeros(len(asked), bool)
     if len(index) and len(asked):
@@ -115,10 +116,29 @@ def _look_up(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         winners = np.array(list(row["winners"]), object)
         winner[known] = winners[slot[known]]
     out = asked[["digest", "first", "n"]].copy()
-    out["known"], out["winner"] = known, winner
+    out["known"], out["winner"], out["slot"] = known, winner, np.where(known, slot, -1)
     return out
 
 
+def _groups(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+    """Groups of a shard: one for each slot, with the rows that the look-up gave it, and one for
+    each asked digest that the index does not know."""
+    found = _look_up(asked, index)
+    known = found["known"].to_numpy(bool)
+    new = found[~known]
+    digests, keep, sizes = list(new["digest"]), list(new["first"]), list(new["n"])
+    if len(index):
+        row = index.iloc[0]
+        held = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
+        counts = np.array(list(row["counts"]), np.int64)
+        np.add.at(counts, found["slot"].to_numpy()[known], found["n"].to_numpy()[known])
+        digests += [d.tobytes() for d in held]
+        keep += list(row["winners"])
+        sizes += counts.tolist()
+    keep = [None if pd.isna(k) else int(k) for k in keep]
+    return pd.DataFrame({"digest": digests, "keep_id": pd.array(keep, "Int64"), "group_size": sizes})
+
+
 def _by_shard(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("bigint"))
 
@@ -129,12 +149,16 @@ def build_index(distinct: DataFrame, shards: int) -> DataFrame:
 
 
 def look_up(index: DataFrame, distinct: DataFrame, shards: int) -> DataFrame:
-    """(digest, first, n) with ``known`` and, for known ones, the ``winner`` of the index."""
+    """Groups (digest, keep_id, group_size) from the index and distinct (digest, first, n).
+
+    The look-up decides: a known digest adds its rows to its slot, whose winner stays, and an
+    unknown one is a group of its own. Nothing is grouped by digest after that.
+    """
     return (
         _by_shard(distinct, shards)
         .groupBy("shard")
         .cogroup(index.groupBy("shard"))
-        .applyInPandas(_look_up, "digest binary, first bigint, n bigint, known boolean, winner bigint")
+        .applyInPandas(_groups, "digest binary, keep_id bigint, group_size bigint")
     )
 
 
@@ -143,7 +167,7 @@ def dedupe(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
     The older half of the ids is history: its distinct digests go into the index, each slot with the
     whole digest and the smallest id. Of the newer half (and rows without an id) distinct digests
-    are looked up; known ones get the winner of the index, the others are grouped on their own.
+    are looked up; known ones join the group of their slot, the others are groups of their own.
     Both sides are aggregated before they are shuffled, so a text that a third of all rows share is
     one row in its shard, and a shard has about ``shard`` digests at any size of the input. Only ids
     and digests are shuffled, no texts.
@@ -165,15 +189,7 @@ def dedupe(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     )
     index = materialize(build_index(history, shards), "index")
     new = ids.filter(~old).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    found = look_up(index, new, shards)
-    groups = (
-        history.select("digest", F.col("winner").alias("keep_id"), "n")
-        .unionByName(
-            found.select("digest", F.when(F.col("known"), F.col("winner")).otherwise(F.col("first")).alias("keep_id"), "n")
-        )
-        .groupBy("digest")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    )
+    groups = look_up(index, new, shards)
     return ids.join(groups, "digest").select(
         "doc_id",
         "keep_id",

@@ -59,6 +59,23 @@ def test_perfect_hash_is_minimal_and_checks_bytes():
     assert found["known"].tolist() == [True, False] and found["winner"].tolist() == [8, None]
 
 
+@pytest.mark.parametrize("broken", ["digests", "winners"])
+def test_exact_groups_rest_on_the_look_up(docs, monkeypatch, broken):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a"), (2, "b"), (3, "c"), (98, "a"), (99, "b"), (100, "d")]
+    right = {1: (1, 2), 2: (2, 2), 3: (3, 1), 98: (1, 2), 99: (2, 2), 100: (100, 1)}
+    found = lambda: sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedupe(docs(rows)).collect())
+    assert found() == [(d, *v) for d, v in right.items()]
+    build = exact_dedup.build_index
+    other = {
+        "digests": F.unhex(F.reverse(F.hex("digests"))),
+        "winners": F.transform("winners", lambda w: w + 10),
+    }[broken]
+    monkeypatch.setattr(exact_dedup, "build_index", lambda *a: build(*a).withColumn(broken, other))
+    assert found() != [(d, *v) for d, v in right.items()]
+
+
 def near_copies():
     rng = random.Random(3)
     rows = []
