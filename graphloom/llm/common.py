@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.scratch import materialize
 
-__all__ = ["ascii_lower", "checked_broadcast", "fold", "materialize", "small_batches", "table"]
+__all__ = ["ascii_lower", "checked_broadcast", "fold", "materialize", "small_batches", "table", "without_rows"]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 500  # texts that go to a Python worker at once
@@ -47,3 +47,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     if int(conf.get(_BATCH)) > BATCH_ROWS:
         conf.set(_BATCH, str(BATCH_ROWS))
     return df
+
+
+def without_rows(docs: DataFrame, named: DataFrame, doc_id: Column, text_key: Column, whole: Column, limit: int) -> DataFrame:
+    """``docs``, all columns, without the rows named as gone and with one row of each that repeats.
+
+    ``named`` is a written table of distinct (_id, _text, gone): rows of that id and text key go if
+    ``gone``, else any one of each id and ``whole``, which tells texts apart for certain, stays. It is
+    counted and broadcast if within ``limit``. Only rows that repeat are shuffled, after a map-side part.
+    """
+    same = doc_id.eqNullSafe(F.col("_id")) & text_key.eqNullSafe(F.col("_text"))
+    names = named.select("_id", "_text")
+    left = docs.join(checked_broadcast(names, named.count(), limit), same, "left_anti")
+    again = named.filter(~F.col("gone")).select("_id", "_text")
+    if not (n := again.count()):
+        return left
+    once = docs.join(checked_broadcast(again, n, limit), same, "left_semi")
+    once = once.withColumns({"_id": doc_id, "_text": whole}).dropDuplicates(["_id", "_text"])
+    return left.unionByName(once.drop("_id", "_text"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checked_broadcast, materialize
+from graphloom.llm.common import materialize, without_rows
 
 SHARD = 8192  # digests that a shard holds on average
 LOAD = 1.6  # bits per key in each level
@@ -200,15 +200,18 @@ def dedupe(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows that ``dedupe`` does not keep.
+    """``docs``, all columns, with one row of each group of equal normalised texts.
 
-    Rows that go are named by id and digest and counted; they are broadcast if few, else the anti
-    join shuffles.
+    It has the smallest id; of rows that repeat that id, or if all ids are null, any one stays. Rows
+    that go or repeat are named by id and digest and counted; they are broadcast if few, else the
+    joins shuffle.
     """
-    gone = dedupe(docs).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_digest")
+    named = dedupe(docs).groupBy("doc_id", "text_sha256").agg(
+        F.bool_and("kept").alias("kept"), F.count("*").alias("n")
     )
-    gone = materialize(gone.distinct(), "copies")
-    gone = checked_broadcast(gone, gone.count(), BROADCAST_ROWS)
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (digest(F.col("text")) == F.col("_digest"))
-    return docs.join(gone, same, "left_anti")
+    named = named.filter(~F.col("kept") | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_text"), (~F.col("kept")).alias("gone")
+    )
+    named = materialize(named, "copies")
+    key = digest(F.col("text"))
+    return without_rows(docs, named, F.col("doc_id").cast("bigint"), key, key, BROADCAST_ROWS)

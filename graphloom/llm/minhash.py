@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
-from graphloom.llm.common import checked_broadcast, materialize, small_batches
+from graphloom.llm.common import checked_broadcast, materialize, small_batches, without_rows
 from graphloom.llm.components import components
 
 WORDS = 5  # words of a shingle
@@ -342,14 +342,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each group: the one with the smallest id.
 
-    Rows that go are named by id and text hash and counted; they are broadcast if few, else the
-    anti join shuffles.
+    Of rows that repeat an id and text, or a text without an id, any one stays. Rows that go or
+    repeat are named by id and text hash and counted; they are broadcast if few, else the joins
+    shuffle.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")
+    named = near_duplicates(docs).groupBy("doc_id", "text_hash").agg(
+        F.bool_and("kept").alias("kept"), F.count("*").alias("n")
     )
-    gone = materialize(gone.distinct(), "copies")
-    gone = checked_broadcast(gone, gone.count(), BROADCAST_ROWS)
-    text_hash = F.xxhash64(F.col("text").cast("string"))
-    same = (F.col("doc_id").cast("bigint") == F.col("_gone")) & (text_hash == F.col("_hash"))
-    return docs.join(gone, same, "left_anti")
+    named = named.filter(~F.col("kept") | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), (~F.col("kept")).alias("gone")
+    )
+    named = materialize(named, "copies")
+    text = F.col("text").cast("string")
+    whole = F.sha2(text.cast("binary"), 256)
+    return without_rows(docs, named, F.col("doc_id").cast("bigint"), F.xxhash64(text), whole, BROADCAST_ROWS)

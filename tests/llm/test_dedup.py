@@ -76,6 +76,19 @@ def test_exact_groups_rest_on_the_look_up(docs, monkeypatch, broken):
     assert found() != [(d, *v) for d, v in right.items()]
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("module", [exact_dedup, minhash])
+def test_one_row_of_replayed_rows_stays(docs, monkeypatch, module, limit):
+    monkeypatch.setattr(module, "BROADCAST_ROWS", limit)
+    a, b, c = (prose(k, 40, 1000) for k in range(3))
+    rows = [(1, a)] * 30 + [(2, a)] * 5 + [(None, b)] * 20 + [(3, c), (4, None), (4, None), (5, prose(9, 40, 1000))]
+    kept = module.without_copies(docs(rows))
+    assert kept.columns == docs(rows).columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted(
+        (str(d), t) for d, t in [(1, a), (None, b), (3, c), (4, None), (5, prose(9, 40, 1000))]
+    )
+
+
 def near_copies():
     rng = random.Random(3)
     rows = []
