@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from graphloom.llm import (
     decontaminate,
     exact_dedup,
+    fim,
     langid,
     line_dedup,
     minhash,
     packing,
     pii,
     quality,
+    token_counts,
     toxicity,
     wavelet,
 )
 from graphloom.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 KEY = "surrogates-1"  # of the registered query; a real run brings a secret one
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +77,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rearranged for filling in, and restored; see ``fim.transform``."""
+    return fim.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens per document; see ``token_counts.count_tokens``."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -86,6 +99,8 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_langid": op9_langid,
         "op10_minhash": op10_minhash,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_token_counts": op12_token_counts,
     }
 
 
@@ -138,6 +153,27 @@ _OP10 = rf"""
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
     FROM (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
 
+_HEX = " + ".join(f"(strpos('0123456789abcdef', substr(h, 8 * {{0}} + {k + 1}, 1)) - 1) * {16 ** (7 - k)}" for k in range(8))
+_OP11 = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('42:', doc_id)) AS h,
+                      regexp_extract_all(coalesce(text, ''),
+                          '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+    c AS (SELECT *, len(u) + 1 AS m, {_HEX.format(0)} AS h1, {_HEX.format(1)} AS h2,
+                 {_HEX.format(2)} AS h3, {_HEX.format(3)} AS h4 FROM d),
+    f AS (SELECT *, least(h1 % m, h2 % m) AS a, greatest(h1 % m, h2 % m) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                           OR h3 % 100 >= 50 THEN 'plain'
+                      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c),
+    s AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS mid,
+                 array_to_string(u[b + 1:], '') AS s FROM f)
+    SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form,
+           CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', mid)
+                            ELSE concat('<S>', s, '<P>', p, '<M>', mid) END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM s"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op4_exact_dedup": _OP4, "op10_minhash": _OP10}
+    return {"op3_decontaminate": _OP3, "op4_exact_dedup": _OP4, "op10_minhash": _OP10, "op11_fill_in_middle": _OP11}

@@ -20,7 +20,7 @@ def test_matches_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert {int(n.split("_")[0][2:]) for n in llm.queries()} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in llm.queries()} == set(range(1, 14))
 
 
 def test_stages_one_by_one(spark, monkeypatch):
