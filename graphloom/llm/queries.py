@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import (
     decontaminate,
+    divergence,
     exact_dedup,
     fim,
     langid,
@@ -87,6 +88,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language are apart; see ``divergence.audit``."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -101,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op10_minhash": op10_minhash,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_token_counts": op12_token_counts,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -174,6 +181,39 @@ _OP11 = rf"""
            sha256(t) AS restored_sha256
     FROM s"""
 
+_OP13 = rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+               FROM documents),
+    o AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM d),
+    k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+    v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+    p AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c,
+               1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (coalesce(n, 0) + v) AS p
+               FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+               LEFT JOIN n USING (lang, source)),
+    q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang) + v) AS q
+          FROM (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL) JOIN v USING (lang)),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+    t AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM t WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": _OP3, "op4_exact_dedup": _OP4, "op10_minhash": _OP10, "op11_fill_in_middle": _OP11}
+    return {
+        "op3_decontaminate": _OP3,
+        "op4_exact_dedup": _OP4,
+        "op10_minhash": _OP10,
+        "op11_fill_in_middle": _OP11,
+        "op13_source_divergence": _OP13,
+    }
