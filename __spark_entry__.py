@@ -13,6 +13,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from graphloom.functions import rating_from_quantity  # noqa: E402
 from graphloom.operators import bipartite, clean, nodes, relations  # noqa: E402
+from graphloom.operators.components import components  # noqa: E402
+from graphloom.operators.knn import knn_edges  # noqa: E402
+from graphloom.operators.pagerank import pagerank  # noqa: E402
+from graphloom.operators.split import time_at, time_split  # noqa: E402
+from graphloom.operators.counts import PRECISION, member_pairs, neighbours  # noqa: E402
 from graphloom.operators.summary import graph_summary  # noqa: E402
 from graphloom.operators.topk import topk_neighbours  # noqa: E402
 from graphloom.plans.build_graph import (  # noqa: E402
@@ -24,6 +29,7 @@ from graphloom.scratch import materialize, scratch_path  # noqa: E402
 from graphloom.sources import interactions as inter  # noqa: E402
 from graphloom.sources.csv import read_csv, write_csv  # noqa: E402
 from graphloom.sources.store import Run, read_relation, read_table  # noqa: E402
+from graphloom.streaming import edges as stream  # noqa: E402
 
 try:  # the corpus operators may be left out of an installation
     import corpus_pipeline
@@ -33,6 +39,7 @@ except ImportError:
 
 SPARSE = ("co_user", "co_item", "same_rating", "same_month", "rating_7d")
 CORE = 20
+ROUNDS = 10  # of the registered PageRank, the same in its SQL
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PAGES = "page_id bigint, url string, html string"
 
@@ -140,14 +147,71 @@ def _graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_relation(spark, out, "members", "a", "same_month")
 
 
+def _rating_7d(interactions: DataFrame, same_item: bool = True) -> relations.Relation:
+    """Equal grades within a week; grades are those of the last row of a user and item."""
+    return relations.rating_within_days(clean.dedupe_latest(interactions), 7, same_item)
+
+
+def _member_pairs(interactions: DataFrame) -> DataFrame:
+    """Members and related pairs of them, per key of the relations within a week."""
+    graded = materialize(clean.dedupe_latest(interactions), "graded")
+    parts = []
+    for name, same_item in (("rating_7d", True), ("rating_7d_global", False)):
+        relation = relations.with_members(relations.rating_within_days(graded, 7, same_item))
+        key = F.concat_ws(":", *relation.keys[1:]).alias("key")
+        found = member_pairs(relation)
+        parts.append(found.select("dataset", F.lit(name).alias("relation"), key, "members", "pairs"))
+    return parts[0].unionByName(parts[1])
+
+
+def _neighbour_estimates(interactions: DataFrame) -> DataFrame:
+    """Users by items: their counted neighbours, and whether the estimate is within four standard errors."""
+    relation = relations.with_members(relations.co_user(interactions))
+    ends = F.explode(F.array("src", "dst")).alias("node")
+    counted = relations.pairs(relation).select("dataset", ends).groupBy("dataset", "node").agg(F.count("*").alias("counted"))
+    both = neighbours(relation).join(counted, ["dataset", "node"], "left").fillna(0, ["counted"])
+    near = F.abs(F.col("neighbours") - F.col("counted")) <= 4 * 1.04 / 2 ** (PRECISION / 2) * F.col("counted")
+    return both.select("dataset", "node", "counted", near.alias("near"))
+
+
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of each whose id is divisible by 50."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return knn_edges(vectors, 10, 50).withColumn("distance", F.round("distance", 6))
+
+
+def _pagerank(interactions: DataFrame) -> DataFrame:
+    ranks = pagerank(relations.co_user(interactions), rounds=ROUNDS, tolerance=0.0)
+    return ranks.withColumn("rank", F.round("rank", 9))
+
+
+def _stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source B as a stream of four files in no order; the edges when all are read."""
+    root = scratch_path(spark, "stream")
+    events = inter.interactions_b(spark, sf_dir)
+    events.repartition(4, F.xxhash64("u", "i", "ts")).write.parquet(f"{root}/in")
+    stream.follow_edges(stream.event_files(spark, f"{root}/in"), f"{root}/out", f"{root}/state")
+    return stream.edges_now(spark, f"{root}/out")
+
+
+def _stream_daily_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source B as a stream of three files in order of time; the edges of the days that were closed."""
+    root = scratch_path(spark, "stream")
+    events = inter.interactions_b(spark, sf_dir)
+    cuts = [F.lit(time_at(events, percent)).cast("timestamp_ntz") for percent in (33, 66)]
+    part = F.when(F.col("ts") <= cuts[0], 0).when(F.col("ts") <= cuts[1], 1).otherwise(2)
+    for n in range(3):
+        events.where(part == n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream.follow_daily_edges(stream.event_files(spark, f"{root}/in"), f"{root}/out", f"{root}/state")
+    return spark.read.schema(stream.DAILY).parquet(f"{root}/out")
+
+
 def _members(interactions: DataFrame) -> DataFrame:
     return relations.union_members(all_relations(interactions))
 
 
 def _summary(interactions: DataFrame) -> DataFrame:
-    built = all_relations(interactions)
-    members = materialize(relations.union_members(built), "members")
-    return graph_summary(interactions, bipartite.bipartite_edges(interactions), members, list(built))
+    return graph_summary(interactions, bipartite.bipartite_edges(interactions), all_relations(interactions))
 
 
 def _build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,13 +309,22 @@ def _graph_queries() -> dict[str, Query]:
         "rel_co_user_b": _b(lambda b: relations.co_user(b).members),
         "rel_co_item": _a(lambda a: relations.pairs(relations.co_item(a))),
         "rel_co_item_b": _b(lambda b: relations.co_item(b).members),
-        "rel_same_rating": _a(lambda a: relations.pairs(relations.same_rating(a))),
+        "rel_same_rating": _a(lambda a: relations.pairs(relations.same_rating(clean.dedupe_latest(a)))),
         "rel_same_month": _a(lambda a: relations.pairs(relations.same_month(a))),
         "rel_same_month_b": _b(lambda b: relations.same_month(b).members),
-        "rel_rating_7d": _a(lambda a: relations.pairs(relations.rating_within_days(a))),
-        "rel_rating_7d_global": _a(
-            lambda a: relations.rating_within_days(a, same_item=False).members
-        ),
+        "rel_rating_7d": _a(lambda a: relations.pairs(_rating_7d(a))),
+        "rel_rating_7d_global": _a(lambda a: _rating_7d(a, same_item=False).members),
+        "member_pairs": _a(_member_pairs),
+        "neighbour_estimates": _a(_neighbour_estimates),
+        "knn_edges": _knn,
+        "pagerank_co_user_b": _b(_pagerank),
+        "time_split": _a(time_split),
+        "time_split_b": _b(time_split),
+        "stream_bipartite_edges": _stream_edges,
+        "stream_daily_edges": _stream_daily_edges,
+        "components_co_user_b": _b(lambda b: components(relations.co_user(b))),
+        "components_same_month": _a(lambda a: components(relations.same_month(a))),
+        "components_rating_7d": _a(lambda a: components(_rating_7d(a))),
         "rel_text_overlap": lambda spark, sf_dir: _text(spark, sf_dir).pairs,
         "text_classes": lambda spark, sf_dir: _text(spark, sf_dir).classes,
         "topk_neighbours": _a(lambda a: topk_neighbours(relations.co_user(a))),
@@ -305,7 +378,7 @@ _TEXT = f"""
     t AS (SELECT id, len(tokens) AS n, unnest(tokens) AS token FROM c)
     SELECT a.id AS src, b.id AS dst, count(*) AS w
     FROM t a JOIN t b ON a.token = b.token AND a.id < b.id
-    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 75"""
+    GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 50"""
 
 
 def _members_sql(source: str, columns: str) -> str:
@@ -341,6 +414,34 @@ def _days_sql(source: str, keys: str) -> str:
     WHERE a.u < b.u AND b.day BETWEEN a.day - 7 AND a.day + 7"""
 
 
+def _split_sql(source: str) -> str:
+    return f"""
+    WITH s AS ({source}),
+    c AS (SELECT min(ts) AS cut FROM (
+              SELECT ts, count(*) OVER (ORDER BY ts) AS k, count(*) OVER () AS n FROM s WHERE ts IS NOT NULL)
+          WHERE k * 100 >= n * 80)
+    SELECT s.*, CASE WHEN ts <= cut THEN 'train' WHEN (u, i) IN (SELECT (u, i) FROM s, c WHERE ts <= cut) THEN 'known'
+                     WHEN ts > cut THEN 'test' END AS part
+    FROM s, c"""
+
+
+def _components_sql(members: str, pairs: str) -> str:
+    """Labels that go along the pairs until no smaller one comes, from the members and the pairs of a relation."""
+    return f"""
+    WITH RECURSIVE n AS (SELECT DISTINCT dataset, u AS node FROM ({members})),
+    p AS MATERIALIZED ({pairs}),
+    e AS MATERIALIZED (SELECT dataset, src AS a, dst AS b FROM p UNION ALL SELECT dataset, dst, src FROM p
+                       UNION ALL SELECT dataset, node, node FROM n),
+    r AS (SELECT dataset, node, node AS component, 0 AS round, true AS moved FROM n
+          UNION ALL
+          SELECT * FROM (
+              SELECT dataset, node, best, round + 1, bool_or(best < component) OVER () FROM (
+                  SELECT r.dataset, e.a AS node, min(r.component) AS best,
+                         min(CASE WHEN e.a = e.b THEN r.component END) AS component, max(r.round) AS round
+                  FROM r JOIN e ON r.dataset = e.dataset AND r.node = e.b WHERE r.moved GROUP BY r.dataset, e.a)))
+    SELECT dataset, node, component FROM r WHERE round = (SELECT max(round) FROM r)"""
+
+
 def _topk_sql(source: str) -> str:
     return f"""
     WITH x AS (SELECT DISTINCT dataset, u, i FROM ({source}) s),
@@ -395,29 +496,35 @@ def _summary_sql(source: str) -> str:
     names = ", ".join(f"('{name}')" for name in RELATIONS)
     return f"""
     WITH s AS MATERIALIZED ({source}),
-    o AS MATERIALIZED (SELECT DISTINCT dataset, relation, key, node
-                       FROM ({_all_members_sql("SELECT * FROM s")}) m),
-    z AS (SELECT dataset, relation, key, count(*) AS d FROM o GROUP BY ALL),
+    m AS MATERIALIZED ({_all_members_sql("SELECT * FROM s")}),
+    z AS (SELECT dataset, relation, key, count(DISTINCT node) AS d FROM m GROUP BY ALL),
+    p AS MATERIALIZED (SELECT p.dataset, p.relation, p.node AS a, q.node AS b, count(*) AS n
+                       FROM m p JOIN m q USING (dataset, relation, key)
+                       WHERE p.node < q.node AND (p.day IS NULL OR abs(p.day - q.day) <= 7) GROUP BY ALL),
+    t AS (SELECT dataset, relation, count(DISTINCT node) AS touched
+          FROM (SELECT dataset, relation, unnest([a, b]) AS node FROM p) GROUP BY ALL),
+    c AS (SELECT dataset, relation, count(*) AS pairs, sum(n) AS pair_key_count FROM p GROUP BY ALL),
     b AS (SELECT DISTINCT dataset, u, i FROM s),
     bi AS (SELECT dataset, i, count(*) AS d FROM b GROUP BY ALL),
     n AS (SELECT dataset, count(DISTINCT u) AS users, count(DISTINCT i) AS items FROM s GROUP BY ALL),
-    t AS (SELECT dataset, relation, count(DISTINCT node) AS touched FROM o
-          JOIN z USING (dataset, relation, key) WHERE d > 1 GROUP BY ALL),
-    st AS (SELECT dataset, relation, count(*) AS keys, sum(d) AS members, max(d) AS largest,
-                  sum(d * (d - 1) // 2) AS pairs FROM z GROUP BY ALL
-           UNION ALL SELECT dataset, 'bipartite_edges', count(*), sum(d), max(d), sum(d) FROM bi GROUP BY ALL),
+    st AS (SELECT dataset, relation, count(*) AS keys, sum(d) AS members, max(d) AS largest FROM z GROUP BY ALL
+           UNION ALL SELECT dataset, 'bipartite_edges', count(*), sum(d), max(d) FROM bi GROUP BY ALL),
     r AS (SELECT dataset, col0 AS relation, CASE col0 WHEN 'co_item' THEN items ELSE users END AS nodes,
-                 CASE col0 WHEN 'co_item' THEN items * (items - 1) / 2
-                           ELSE users * (users - 1) / 2 END AS possible, 0 AS all_touched
+                 CASE col0 WHEN 'co_item' THEN items * (items - 1) / 2 ELSE users * (users - 1) / 2 END AS possible,
+                 0 AS all_touched, 0 AS all_pairs
           FROM (VALUES {names}), n
-          UNION ALL SELECT dataset, 'bipartite_edges', users + items, users * items, users + items FROM n)
+          UNION ALL SELECT dataset, 'bipartite_edges', users + items, users * items, users + items, members
+          FROM n JOIN st USING (dataset) WHERE relation = 'bipartite_edges')
     SELECT dataset, relation, nodes, CAST(coalesce(touched, all_touched) AS BIGINT) AS touched,
            CAST(nodes - coalesce(touched, all_touched) AS BIGINT) AS isolated,
            CAST(coalesce(keys, 0) AS BIGINT) AS keys, CAST(coalesce(members, 0) AS BIGINT) AS members,
-           CAST(coalesce(largest, 0) AS BIGINT) AS largest, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs,
-           CASE WHEN possible > 0 THEN round(CAST(coalesce(pairs, 0) AS DOUBLE) / possible, 9)
+           CAST(coalesce(largest, 0) AS BIGINT) AS largest,
+           CAST(coalesce(pair_key_count, all_pairs) AS BIGINT) AS pair_key_count,
+           CAST(coalesce(pairs, all_pairs) AS BIGINT) AS pairs, true AS exact,
+           CASE WHEN possible > 0 THEN round(CAST(coalesce(pairs, all_pairs) AS DOUBLE) / possible, 9)
                 ELSE 0.0::DOUBLE END AS density
-    FROM r LEFT JOIN st USING (dataset, relation) LEFT JOIN t USING (dataset, relation)"""
+    FROM r LEFT JOIN st USING (dataset, relation) LEFT JOIN t USING (dataset, relation)
+    LEFT JOIN c USING (dataset, relation)"""
 
 
 def _features_sql(source: str) -> str:
@@ -521,11 +628,54 @@ def _graph_sql() -> dict[str, str]:
         "rel_co_user_b": _members_sql(_B, "dataset, i, u"),
         "rel_co_item": _share_sql(_A, "u", "i"),
         "rel_co_item_b": _members_sql(_B, "dataset, u, i"),
-        "rel_same_rating": _share_sql(_A, "i, r", "u"),
+        "rel_same_rating": _share_sql(_dedupe_sql(_A), "i, r", "u"),
         "rel_same_month": _share_sql(_with_month(_A), "i, month", "u"),
         "rel_same_month_b": _members_sql(_with_month(_B), "dataset, i, month, u"),
-        "rel_rating_7d": _days_sql(_A, "i, r"),
-        "rel_rating_7d_global": _members_sql(_with_day(_A), "dataset, r, u, day"),
+        "rel_rating_7d": _days_sql(_dedupe_sql(_A), "i, r"),
+        "rel_rating_7d_global": _members_sql(_with_day(_dedupe_sql(_A)), "dataset, r, u, day"),
+        "member_pairs": f"""
+            WITH m AS ({_all_members_sql(_A)}),
+            z AS (SELECT dataset, relation, key, count(*) AS members FROM m WHERE day IS NOT NULL GROUP BY ALL),
+            n AS (SELECT dataset, relation, key, count(*) AS pairs FROM m p JOIN m q USING (dataset, relation, key)
+                  WHERE p.node < q.node AND abs(p.day - q.day) <= 7 GROUP BY ALL)
+            SELECT dataset, relation, key, members, coalesce(pairs, 0) AS pairs
+            FROM z LEFT JOIN n USING (dataset, relation, key)""",
+        "neighbour_estimates": f"""
+            WITH p AS ({_share_sql(_A, "i", "u")})
+            SELECT 'a' AS dataset, node, count(o) AS counted, true AS near
+            FROM (SELECT DISTINCT u AS node FROM ({_A}) s) LEFT JOIN
+                 (SELECT src AS node, dst AS o FROM p UNION ALL SELECT dst, src FROM p) USING (node) GROUP BY node""",
+        "knn_edges": """
+            SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM (
+                SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM (
+                    SELECT a.vec_id AS src, b.vec_id AS dst,
+                           list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance
+                    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0))
+            WHERE rank <= 10""",
+        "pagerank_co_user_b": f"""
+            WITH RECURSIVE p AS ({_share_sql(_B, "i", "u")}),
+            e AS MATERIALIZED (SELECT src AS a, dst AS b, w FROM p UNION ALL SELECT dst, src, w FROM p),
+            t AS MATERIALIZED (SELECT a, sum(w) AS total FROM e GROUP BY a),
+            n AS MATERIALIZED (SELECT DISTINCT u AS node, count(DISTINCT u) OVER () AS n FROM ({_B}) s),
+            r AS (SELECT node, CAST(1 AS DOUBLE) / n AS rank, 0 AS round FROM n
+                  UNION ALL
+                  SELECT e.b, CAST(0.15 AS DOUBLE) / max(n.n) + CAST(0.85 AS DOUBLE) * sum(r.rank * e.w / t.total), max(r.round) + 1
+                  FROM r JOIN e ON r.node = e.a JOIN t ON t.a = e.a JOIN n ON n.node = e.b
+                  WHERE r.round < {ROUNDS} GROUP BY e.b)
+            SELECT 'b' AS dataset, node, round(rank, 9) AS rank FROM r WHERE round = {ROUNDS}""",
+        "time_split": _split_sql(_A),
+        "time_split_b": _split_sql(_B),
+        "stream_bipartite_edges": _bipartite_sql(_B),
+        "stream_daily_edges": f"""
+            SELECT dataset, CAST(ts AS DATE) AS day, u, i, count(*) AS w FROM ({_B}) s
+            WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+        "components_co_user_b": _components_sql(_members_sql(_B, "dataset, i, u"), _share_sql(_B, "i", "u")),
+        "components_same_month": _components_sql(
+            _members_sql(_with_month(_A), "dataset, i, month, u"), _share_sql(_with_month(_A), "i, month", "u")
+        ),
+        "components_rating_7d": _components_sql(
+            _members_sql(_with_day(_dedupe_sql(_A)), "dataset, i, r, u, day"), _days_sql(_dedupe_sql(_A), "i, r")
+        ),
         "rel_text_overlap": _TEXT,
         "text_classes": f"SELECT doc_id, class_id FROM ({_CLASSES})",
         "topk_neighbours": _topk_sql(_A),

@@ -9,12 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.hot import join_spread
+from graphloom.scratch import materialize
+
 TILE = 512  # members of a key that a task meets at once, on each side
 
 
-def group_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per key, of keys with two or more."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > 1)
+def group_sizes(rows: DataFrame, keys: list[str], above: int = 1) -> DataFrame:
+    """Rows per key, of keys with more than ``above``."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > above)
 
 
 def pairs_in_groups(
@@ -22,15 +25,20 @@ def pairs_in_groups(
 ) -> DataFrame:
     """Rows ``a`` and ``b`` (structs of what is not a key) of each two rows with equal keys.
 
-    ``rows`` must be distinct; each ordered pair is met once, and ``keep``, over ``a`` and ``b``,
-    says which are wanted. The members of a key are parted into tiles by a hash of ``member``, as
-    many as its exact count asks for, and each pair of tiles is a join key of its own: most keys are
-    one tile, and a hot one is many tasks of the same bounded size.
+    ``rows`` must be distinct, and is read several times, so a written table is best; each ordered
+    pair is met once, and ``keep``, over ``a`` and ``b``, says which are wanted. The keys with more than
+    ``tile`` members are counted first. Without any, rows meet on their keys alone. Else the members of a
+    key are parted into tiles by a hash of ``member``, as many as its exact count asks for, and each pair
+    of tiles is a join key of its own: most keys are one tile, and a hot one is many tasks of the
+    same bounded size.
     """
     rest = [c for c in rows.columns if c not in keys]
-    tiled = rows.join(group_sizes(rows, keys), keys).withColumn(
-        "_tiles", F.ceil(F.col("size") / tile).cast("int")
-    )
+    large = materialize(group_sizes(rows, keys, tile), "large-keys")
+    if large.isEmpty():
+        a, b = (rows.select(*keys, F.struct(*rest).alias(name)) for name in ("a", "b"))
+        return a.join(b, keys).where(keep)
+    sized = join_spread(rows, large, keys, [member], "left")
+    tiled = sized.withColumn("_tiles", F.ceil(F.coalesce("size", F.lit(1)) / tile).cast("int"))
     tiled = tiled.select(
         *keys,
         F.struct(*rest).alias("_row"),
@@ -48,24 +56,3 @@ def pairs_in_groups(
 def complete(rows: DataFrame) -> DataFrame:
     """Rows without a null; one plain filter per column, which reaches the scan."""
     return reduce(lambda df, c: df.where(F.col(c).isNotNull()), rows.columns, rows)
-
-
-def salts(rows: DataFrame) -> int:
-    """As many as there are shuffle partitions, so that one hot key can use them all."""
-    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread(rows: DataFrame, by: str) -> DataFrame:
-    """Give each row one of the salts, so that one key is many join keys."""
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts(rows))))
-
-
-def repeat(rows: DataFrame) -> DataFrame:
-    """Each row once per salt: the other, small side of a join with ``spread`` rows."""
-    all_salts = F.sequence(F.lit(0).cast("bigint"), F.lit(salts(rows) - 1).cast("bigint"))
-    return rows.withColumn("_salt", F.explode(all_salts))
-
-
-def rows_of_keys(rows: DataFrame, wanted: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """``rows`` whose key is in ``wanted``; the rows of one key are spread over many tasks."""
-    return spread(rows, by).join(repeat(wanted), [*keys, "_salt"], "left_semi").drop("_salt")

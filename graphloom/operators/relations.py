@@ -9,20 +9,35 @@ large as the relation is, so there the member form is the one to use.
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import day_number, month_number, tokens
 from graphloom.operators.groups import TILE, complete, pairs_in_groups
+from graphloom.operators.hot import join_spread
+from graphloom.scratch import materialize
+
+RARE_BITS = 22  # of a token's place in the order by rarity; more texts than that count alike
 
 
 class Relation(NamedTuple):
-    """Distinct rows of ``dataset``, the keys, the node and, for relations in time, ``day``."""
+    """Distinct rows of ``dataset``, the keys, the node and, for relations in time, ``day``.
+
+    ``written`` says that ``members`` is a scan of a written table, so reading it again costs little.
+    """
 
     members: DataFrame
     keys: list[str]
     node: str
     days: int | None = None
+    written: bool = False
+
+
+def with_members(relation: Relation) -> Relation:
+    """The relation with its members written, once, for what reads them more than once."""
+    if relation.written:
+        return relation
+    return relation._replace(members=materialize(relation.members, "members"), written=True)
 
 
 def _members(rows: DataFrame, keys: list[str], node: str, days: int | None = None) -> Relation:
@@ -60,8 +75,10 @@ def rating_within_days(interactions: DataFrame, days: int = 7, same_item: bool =
 def pairs(relation: Relation, tile: int = TILE) -> DataFrame:
     """All pairs, as ``dataset, src, dst, w``; ``w`` is 1 for a relation within days.
 
-    ``tile`` sets how large keys are dealt to tasks. The result does not depend on it.
+    ``tile`` sets how large keys are dealt to tasks. The result does not depend on it. The members are
+    written first, as they are counted and then joined with themselves.
     """
+    relation = with_members(relation)
     if relation.days is not None:
         return _pairs_within_days(relation, tile)
     node = relation.node
@@ -100,44 +117,64 @@ def _pairs_within_days(relation: Relation, tile: int) -> DataFrame:
     )
 
 
+def runs(relation: Relation) -> Relation:
+    """A relation without days that has the same connected nodes.
+
+    In a key, days at most ``days`` apart from the next one follow on another without a gap: they are a
+    run, and its members hang together, each with the next in time. A gap parts them. So the key and
+    the number of the run are the keys of the new relation. Only the distinct days of a
+    key are put in order, and a calendar has few.
+    """
+    if relation.days is None:
+        return relation
+    run = next(n for n in ("run", "run_of_days") if n not in relation.members.columns)
+    in_time = Window.partitionBy(*relation.keys).orderBy("day")
+    days = relation.members.select(*relation.keys, "day").distinct()
+    gap = F.col("day") - F.lag("day").over(in_time) > relation.days
+    days = days.withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int"))
+    days = days.select(*relation.keys, "day", F.sum("gap").over(in_time).alias(run))
+    members = join_spread(relation.members, days, [*relation.keys, "day"], [relation.node])
+    keys = [*relation.keys, run]
+    return Relation(members.select(*keys, relation.node).distinct(), keys, relation.node)
+
+
 class TextOverlap(NamedTuple):
     pairs: DataFrame
     classes: DataFrame
 
 
-def text_overlap(documents: DataFrame, percent: int = 75, tile: int = TILE) -> TextOverlap:
+def text_overlap(documents: DataFrame, percent: int = 50, tile: int = TILE) -> TextOverlap:
     """Texts whose token sets have at least ``percent`` of their union in common.
 
     ``classes`` says for each text which text stands for its token set: the smallest id with equal
     tokens, so copies make no pairs. ``pairs`` holds ``src < dst`` of those, with ``w`` the shared tokens.
     A text without tokens has no class.
 
-    All tokens count. Candidates are exact: with tokens in order of rarity, two sets so alike share
-    one of the first ``n - ceil(percent n) + 1`` of each, so only those are joined, and all are compared on
-    whole sets. Another text changes which tokens are joined on, and never takes a pair away.
+    All tokens count. Candidates are exact: with the tokens of a set in order of rarity, two sets so
+    alike share one of the first ``n - ceil(percent n) + 1`` of each, and what follows the first they
+    share is long enough. So only those are joined, and all that are left are compared on whole sets.
+    Another text changes which tokens are joined on, and never takes a pair away. The token sets are
+    written once, and once more as numbers.
     """
-    share = percent / 100
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     kept = F.array_sort(F.filter(F.array_distinct(tokens(F.col("text"))), lambda t: t != ""))
     sets = documents.select("doc_id", kept.alias("tokens")).where("doc_id IS NOT NULL AND size(tokens) > 0")
-    sets = sets.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
-    stands = sets.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
-    classes = sets.select("doc_id", "set").join(stands.select("set", "id"), "set")
-    each = stands.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("texts"))
-    ordered = (
-        each.join(counts, "token")
-        .groupBy("id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("rare"))
-        .select("id", "n", F.col("rare.token").alias("rare"))
-    )
-    first = F.slice("rare", 1, F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)
-    wanted = (
-        (F.col("a.id") < F.col("b.id"))
-        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
-    )
+    sets = materialize(sets.withColumn("set", F.sha2(F.array_join("tokens", " "), 256)), "token-sets")
+    first = sets.groupBy("set").agg(F.min("doc_id").alias("id"))
+    classes = materialize(join_spread(sets.select("doc_id", "set"), first, ["set"], ["doc_id"]), "text-classes")
+    own = classes.where(F.col("doc_id") == F.col("id")).distinct()
+    stands = sets.join(own, ["doc_id", "set"]).groupBy("id", "tokens").agg(F.size("tokens").alias("n"))
+    stands = materialize(stands, "texts")
+    coded = materialize(_by_rarity(stands), "rare-tokens")
+    need = F.expr(f"(n * {percent} + 99) div 100").cast("int")
+    places = coded.select("id", "n", F.posexplode(F.slice("rare", F.lit(1), F.col("n") - need + 1)).alias("at", "key"))
+    a, b = F.col("a"), F.col("b")
+    after = F.least(a.n - a["at"], b.n - b["at"])  # tokens that both may share from here on
+    wanted = (a.id < b.id) & (after * (100 + percent) >= (a.n + b.n) * percent)
     found = (
-        pairs_in_groups(ordered.select("id", "n", F.explode(first).alias("token")), ["token"], "id", wanted, tile)
-        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+        pairs_in_groups(materialize(places, "rare-places"), ["key"], "id", wanted, tile)
+        .select(a.id.alias("src"), b.id.alias("dst"))
         .distinct()
     )
     whole = stands.select("id", "tokens")
@@ -151,6 +188,23 @@ def text_overlap(documents: DataFrame, percent: int = 75, tile: int = TILE) -> T
     return TextOverlap(compared.select("src", "dst", "w"), classes.select("doc_id", F.col("id").alias("class_id")))
 
 
+def _by_rarity(stands: DataFrame) -> DataFrame:
+    """``id, n, rare``: the tokens of each set as numbers, the rarest first.
+
+    A number is the count of texts with the token, up to 2^22, and 41 bits of its hash below.
+    Tokens that get one number are one token in two copies, for all sets alike, which adds
+    candidates and takes none away. Tokens of very many texts are spread over tasks.
+    """
+    each = stands.select("id", "n", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("texts"))
+    low = 63 - RARE_BITS
+    rare = F.shiftleft(F.least("texts", F.lit((1 << RARE_BITS) - 1)), low) + F.xxhash64("token").bitwiseAND(
+        F.lit((1 << low) - 1)
+    )
+    numbered = join_spread(each, counts.select("token", rare.alias("rare")), ["token"], ["id"])
+    return numbered.groupBy("id", "n").agg(F.array_sort(F.collect_list("rare")).alias("rare"))
+
+
 def union_members(relations: dict[str, Relation]) -> DataFrame:
     """The members of all relations: ``dataset, relation, key`` (as text), ``node, day``.
 

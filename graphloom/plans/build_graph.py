@@ -25,6 +25,7 @@ from graphloom.operators.relations import (
     text_overlap,
     union_members,
     union_pairs,
+    with_members,
 )
 from graphloom.operators.summary import graph_summary
 from graphloom.scratch import materialize
@@ -75,13 +76,13 @@ def build_graph(
     index = run.write(node_index(events), "nodes", ["ntype"])
     events = materialize(number_keys(events, index), "events")
     graded = run.write(dedupe_latest(events), "interactions")
-    relations = all_relations(events, graded)
+    relations = {name: with_members(r) for name, r in all_relations(events, graded).items()}
     run.write(node_features(events), "features")
     bipartite = run.write(bipartite_edges(events), "bipartite")
-    members = run.write(union_members(relations), "members", ["relation"])
+    run.write(union_members(relations), "members", ["relation"])
     if with_pairs:
         run.write(union_pairs({name: pairs(relations[name]) for name in with_pairs}), "edges", ["relation"])
-    run.write(graph_summary(events, bipartite, members, list(relations)), "summary")
+    run.write(graph_summary(events, bipartite, relations), "summary")
     run.finish()
     return run
 

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from datetime import timedelta
 from itertools import combinations
@@ -5,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import relations
 from graphloom.operators.relations import (
     co_item,
     co_user,
@@ -124,6 +126,30 @@ def test_tokens_by_brute_force(spark, percent):
     assert found(got.pairs) == want
 
 
+def test_shares_are_whole_numbers(spark):
+    """55 of 100 tokens are 55 percent, which binary fractions miss by a little."""
+    whole = [f"t{k}" for k in range(100)]
+    texts = [(1, " ".join(whole)), (2, " ".join(whole[:55])), (3, " ".join(whole[:54]))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert found(text_overlap(df, 55).pairs) == {(1, 2): 55, (2, 3): 54}
+    assert found(text_overlap(df, 54).pairs) == {(1, 2): 55, (1, 3): 54, (2, 3): 54}
+    with pytest.raises(ValueError):
+        text_overlap(df, 0)
+
+
+@pytest.mark.parametrize("percent", [30, 50, 55, 75, 90])
+def test_random_texts_by_brute_force(spark, percent, monkeypatch):
+    monkeypatch.setattr(relations, "RARE_BITS", 62)  # one bit of hash: nearly all tokens collide
+    rng = random.Random(percent)
+    words = [f"w{k}" for k in range(40)]
+    texts = [(k, " ".join(rng.choice(words[: rng.choice([5, 40])]) for _ in range(rng.randrange(1, 30)))) for k in range(60)]
+    texts += [(100 + k, "hot words of all " + texts[k][1]) for k in range(30)] + [(200, texts[3][1]), (200, texts[3][1])]
+    classes, want = overlap(texts, percent)
+    got = text_overlap(spark.createDataFrame(texts, "doc_id bigint, text string"), percent, 8)
+    assert found(got.pairs) == want
+    assert {r.doc_id: r.class_id for r in got.classes.collect()} == classes
+
+
 def test_more_texts_never_take_an_edge_away(spark):
     more = TEXTS + [(100 + k, f"red green blue moon sun star w{k} v{k} x{k} y{k} z{k} q{k}") for k in range(60)]
     few, many = (
