@@ -3,7 +3,8 @@
 A byte-level BPE splits a text before each run of white space and treats what lies between on its
 own, so the ids of a text are the ids of its pieces. Words repeat, so each Python worker keeps the
 ids of the words it has met and asks the library for new ones only. Texts with unusual white space,
-where the library and Python could disagree on what white space is, go to the library whole.
+where the library and Python could disagree on what white space is, go to the library whole, and so
+do texts with the string of a special token.
 """
 
 from __future__ import annotations
@@ -44,12 +45,12 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Same ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 
-    Strings of special tokens in a text count as ordinary text.
+    Strings of special tokens in a text are what the library takes them for.
     """
 
     def __init__(self, path: str, cache: int = _CACHE):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache = cache
         self.words = _Words(self._ids)
         self.cuts = (
@@ -87,7 +88,7 @@ class Encoder:
         for n, text in enumerate(texts):
             if not text:
                 continue
-            if not self.cuts or any(c in text for c in _ODD):
+            if not self.cuts or any(c in text for c in self.special) or any(c in text for c in _ODD):
                 odd.append(n)
                 continue
             if any(c in text for c in _UNEVEN) or text[0] in " \n" or text[-1] in " \n":
@@ -106,6 +107,8 @@ class Encoder:
 
     def _ids(self, piece: str) -> bytes:
         """Ids of a piece; a word and the marks after it are apart for the library too."""
+        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
+            return _packed([t.id for t in self.model.tokenize(self.blank + piece[1:])])
         match = _SIMPLE.fullmatch(piece)
         if not match:
             return self.whole([piece])[0]
