@@ -29,9 +29,10 @@ class SumOfSquares:
 
     ``count[h]`` is the number of open windows that hold h tokens. A piece goes where the sum of
     squares of the counts grows least: into a window of the level that gains most, or into a new
-    one. Ties go to the fullest window. A window that is full leaves at once. Where ``limit``
-    windows are open, and at the end, the emptiest ones are cut up to fill the others, so at most
-    one window of a task stays partly filled.
+    one. Ties go to the fullest window. A window that is full leaves at once. With more than ``limit``
+    windows open, the fullest one is filled with pieces cut from the emptiest and leaves too, so that
+    memory is bounded; the rule goes on with the others. At the end all are filled that way, so at
+    most one window of a task stays partly filled.
     """
 
     def __init__(self, window: int = WINDOW, limit: int = OPEN):
@@ -53,56 +54,46 @@ class SumOfSquares:
             best = len(change) - 1 - int(np.argmin(change[::-1]))
             if change[best] <= 2 * self.count[size] + 1:
                 level = int(levels[best])
-        pieces = self.open[level].pop() if level else []
+        pieces = self._taken(level) if level else []
         pieces.append(piece)
-        if level:
-            self.count[level] -= 1
-            self.n_open -= 1
         if level + size == self.window:
             yield pieces
             return
         self._hold(level + size, pieces)
         if self.n_open > self.limit:
-            left = yield from self._even_out()
-            if left:
-                self._hold(sum(len(p[2]) // 4 for p in left), left)
+            yield self._fill_fullest()
 
     def finish(self) -> Iterator[list[Piece]]:
-        left = yield from self._even_out()
-        if left:
-            yield left
+        while self.n_open:
+            yield self._fill_fullest()
 
     def _hold(self, level: int, pieces: list[Piece]) -> None:
         self.open[level].append(pieces)
         self.count[level] += 1
         self.n_open += 1
 
-    def _even_out(self) -> Iterator[list[Piece]]:
-        """Fill the fullest windows from the emptiest; returns the one that stays partly filled."""
-        held = [(h, pieces) for h in range(self.window - 1, 0, -1) for pieces in self.open[h]]
-        self.open = [[] for _ in range(self.window)]
-        self.count[:] = 0
-        self.n_open = 0
-        first, last = 0, len(held) - 1
-        while first < last:
-            level, pieces = held[first]
-            while level < self.window and first < last:
-                have, donor = held[last]
+    def _taken(self, level: int) -> list[Piece]:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _fill_fullest(self) -> list[Piece]:
+        """The fullest window, with pieces of the emptiest ones cut to its size, or all that there are."""
+        level = int(np.flatnonzero(self.count)[-1])
+        pieces = self._taken(level)
+        while level < self.window and self.n_open:
+            have = int(np.flatnonzero(self.count)[0])
+            donor = self._taken(have)
+            while donor and level < self.window:
                 doc_id, start, ids, total = donor.pop()
                 take = min(len(ids) // 4, self.window - level)
                 pieces.append((doc_id, start, ids[: 4 * take], total))
-                level += take
+                level, have = level + take, have - take
                 if 4 * take < len(ids):
                     donor.append((doc_id, start + take, ids[4 * take :], total))
-                if donor:
-                    held[last] = (have - take, donor)
-                else:
-                    last -= 1
-            held[first] = (level, pieces)
-            if level == self.window:
-                yield pieces
-                first += 1
-        return held[first][1] if first <= last and held else []
+            if donor:
+                self._hold(have, donor)
+        return pieces
 
 
 def _rows(windows: Iterator[list[Piece]], first: int) -> Iterator[tuple]:
