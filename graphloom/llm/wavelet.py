@@ -46,15 +46,19 @@ def write_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
     sections.append(pack(np.packbits(known).tobytes() + numbers.tobytes()))
     sections.append(pack(np.asarray(lengths, "<i8").tobytes()))
+    spare = np.empty_like(now)
+    full = np.zeros(-(-len(now) // BLOCK) * BLOCK // 8, np.uint8)  # the bits, up to a whole block
     for plane in range(width - 1, -1, -1):
-        ones = (now >> small(plane)) & small(1) != 0
+        ones = (now & small(1 << plane)).astype(bool)
         bits = np.packbits(ones)
-        sections.append(pack(bits.tobytes()))
-        blocks = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK), dtype=np.int64) if len(ones) else np.zeros(0)
+        full[: len(bits)] = bits
+        sections.append(pack(bits))
+        blocks = np.bitwise_count(full.view(np.uint64).reshape(-1, BLOCK // 64)).sum(axis=1, dtype=np.uint32)
         sections.append(pack(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes()))
-        low = now[~ones]
-        zeros.append(len(low))
-        now = np.concatenate([low, now[ones]])
+        zeros.append(len(ones) - int(blocks.sum()))
+        np.compress(~ones, now, out=spare[: zeros[-1]])
+        np.compress(ones, now, out=spare[zeros[-1] :])
+        now, spare = spare, now
     head = json.dumps(
         {"docs": len(doc_ids), "tokens": len(ids), "planes": width, "zeros": zeros, "sizes": [len(s) for s in sections]}
     ).encode()
@@ -249,6 +253,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def op7(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Shards of all documents written, and the documents as read back from them; cases as in ``write``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
     write(docs, tokenizer, path)
