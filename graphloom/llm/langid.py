@@ -12,12 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, small_batches
+from graphloom.llm.common import fold, fresh, small_batches
 
 FOLDS, HELD = 4, 2
-SAMPLE = 20_000  # documents that the model learns from at most
-WORDS = 100_000  # words that the model holds at most
-GRAMS = 100_000  # character runs that the model holds at most
+SAMPLE = 20_000  # documents that the model learns from at most, which also bounds its words and runs
 LONGEST = 5  # characters of a run
 LEAST = 2  # times that a word or run is seen at least
 CACHE = 200_000  # unseen words that a worker keeps
@@ -100,16 +98,16 @@ def _rows(counts: pd.DataFrame, languages: list[str], key: str) -> tuple[dict[st
     return {w: k for k, w in enumerate(wide.index)}, np.log(values / values.sum(axis=0, keepdims=True))
 
 
-def _most_seen(counts: DataFrame, key: str, limit: int) -> pd.DataFrame:
-    """Counts of the ``limit`` entries seen most; bounded, so collected."""
-    held = counts.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST)
-    held = held.orderBy(F.desc("total"), key).limit(limit).select(key)
-    return counts.join(F.broadcast(held), key).select(key, "lang", "n").toPandas()
+def _seen(counts: DataFrame, key: str) -> pd.DataFrame:
+    """Counts of all entries seen ``LEAST`` times or more; they are those of a bounded sample, so collected."""
+    held = counts.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST).select(key)
+    return counts.join(held, key).select(key, "lang", "n").toPandas()
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` documents with a language outside the held-out fold, chosen by
-    a hash of the id. Counts are made on the executors; the most seen entries are collected."""
+    a hash of the id. Counts are made on the executors. All words and character runs that the sample
+    holds ``LEAST`` times are in the model, of whatever language, so it grows with the sample alone."""
     doc_id = F.col("doc_id").cast("bigint")
     known = docs.select(doc_id.alias("_id"), F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("_id").isNotNull() & (fold(F.col("_id"), folds) != held)
@@ -131,8 +129,8 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAM
         )
     )
     grams = words.select("lang", "n", F.explode(runs).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    word_counts = _most_seen(words, "word", WORDS)
-    gram_counts = _most_seen(grams, "gram", GRAMS)
+    word_counts = _seen(words, "word")
+    gram_counts = _seen(grams, "gram")
     words.unpersist()
     languages = sorted(set(word_counts["lang"]) | set(gram_counts["lang"]))
     if not languages:
@@ -147,7 +145,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     everything where nothing was learned. Ties go to the first language by name. Columns of these
     names that ``docs`` already has are replaced, all others stay.
     """
-    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -156,12 +154,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = scorer(part.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    found = docs.withColumn("_found", run(F.col("text").cast("string")))
-    found = found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score"))
-    return found.drop("_found")
+    name = fresh("found", docs)
+    found = docs.withColumn(name, run(F.col("text").cast("string")))
+    found = found.withColumn("lang_pred", F.col(name)["lang_pred"]).withColumn("score", F.col(name)["score"])
+    return found.drop(name)
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """Predictions for all rows by a model of those that are not held out; cases as in ``identify``."""
     found = identify(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fit(docs))
     held_out = (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score")

@@ -18,7 +18,6 @@ from graphloom.llm.supervised import SAMPLE, training_rows
 
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
-TERMS = 2000  # learned terms that a lexicon holds at most
 LEAST = 4  # toxic documents that a learned term occurs in at least
 NEAR = 4  # words between an address and an insult that count as near
 
@@ -100,10 +99,11 @@ def _features(text: str, terms: dict[str, float]) -> list[float]:
 WIDTH = len(_features("", {}))
 
 
-def lexicon(rows: DataFrame, least: int = LEAST, limit: int = TERMS) -> dict[str, float]:
+def lexicon(rows: DataFrame, least: int = LEAST) -> dict[str, float]:
     """Terms that stand in toxic texts far more often than in others, with their log odds.
 
-    Counts are of documents, from (text, label); at most ``limit`` terms come back.
+    Counts are of documents, from (text, label). All terms in ``least`` toxic texts that pass come back;
+    the sample of rows is bounded, and so are they.
     """
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)))
     counts = rows.select("label", word.alias("term")).groupBy("term").agg(
@@ -116,8 +116,6 @@ def lexicon(rows: DataFrame, least: int = LEAST, limit: int = TERMS) -> dict[str
         counts.filter(F.col("toxic") >= least)
         .withColumn("odds", odds)
         .filter(F.col("odds") > 2)
-        .orderBy(F.desc("odds"), F.desc("toxic"), "term")
-        .limit(limit)
         .collect()
     )
     return {r["term"]: r["odds"] for r in found}
@@ -155,7 +153,7 @@ def _feature_column(terms: Callable[[int], dict[str, float]]) -> Callable:
 
 
 def scorer(docs: DataFrame, model: Model) -> Column:
-    """The score of each row of ``docs``; the model is bounded by TERMS and the trees."""
+    """The score of each row of ``docs``; the model is bounded by SAMPLE and the trees."""
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -182,6 +180,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all rows by a model of the labelled ones that are not held out; cases as in ``score``."""
     doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
     scored = score(docs.select(doc_id, "text"), fit(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", "predicted")
