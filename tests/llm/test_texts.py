@@ -113,6 +113,36 @@ def test_surrogates_keep_kind_form_and_coreference(docs):
     assert all(other[d] != got[d].text for d in (1, 2, 4, 5, 6))
 
 
+def test_names_go_wherever_their_text_has_them(docs):
+    rows = [
+        (1, "Mr. John Smith came. John Smith paid, and Smith left. Dr. John Smith is Mr. John Smith. Smithy, a john"),
+        (2, "John Smith has no title here. Dr. John Smith-Lee has: John, Smith-Lee."),
+        (3, "Mrs. Ann Dr. Ann Bell and Mr. Ann Bell; mail Ann.Bell@mail.example.com"),
+        (4, "Señora María Íñiguez dijo: María y O’Neil. Herr O’Neil, O’Neil"),
+    ]
+    got = {r.doc_id: r for r in pii.replace(docs(rows), "k").collect()}
+    given, surname = re.match(r"Mr\. (\w+) (\w+) came", got[1].text).groups()
+    want = f"Mr. {given} {surname} came. {given} {surname} paid, and {surname} left. Dr. {given} {surname} is Mr. {given} {surname}. Smithy, a john"
+    assert got[1].text == want and got[1].n_entities == 9 and got[1].kinds == ["name_m", "surname"]
+    assert len({given, surname, "John", "Smith"}) == 4
+    first, rest = re.match(r"(\w+) Smith has no title here\. Dr\. (.+)", got[2].text).groups()
+    assert re.fullmatch(rf"{first} (\w+) has: {first}, \1\.", rest) and first != "John"
+    assert first[:4] == given[:4]  # one body; in one text the titles tell the gender
+    assert not re.search("Ann|Bell", got[3].text) and "name_n" in got[3].kinds
+    assert not re.search("María|Íñiguez|O’Neil", got[4].text) and got[4].text.count("dijo") == 1
+
+
+def test_short_numbers_are_no_phones_and_crowded_ones_grow(spark, docs):
+    assert [r.text for r in pii.replace(docs([(1, "+12345 or +1 23 45")]), "k").collect()] == ["+12345 or +1 23 45"]
+    value = spark.createDataFrame([("phone", "12345678"), ("ip", "1.2.3.4"), ("ssn", "123456789")], "kind string, value string")
+    for attempt, more in ((0, 0), (pii.LONGER, 1), (3 * pii.LONGER, 3)):
+        made = pii.surrogate(F.col("kind"), F.col("value"), F.lit(attempt), "k")
+        got = {r.kind: r.new for r in value.select("kind", made.alias("new")).collect()}
+        assert len(got["phone"]) == 8 + more and len(got["ssn"]) == 9 + more and got["ip"].count(".") == 3 + (more > 0)
+    shown = spark.range(1).select(pii._in_form(F.lit("phone"), F.lit("+12 345-678"), F.lit("1999999944"))).first()[0]
+    assert shown == "+19 999-99944"
+
+
 def test_clashing_surrogates_get_another_attempt(spark, docs):
     """Many short names and addresses: there are far fewer first surrogates than entities."""
     names = [f"Mr. {a}{b}{c}o" for a in "BCDFGHKL" for b in "aeiou" for c in "bcdfghklmn"]
