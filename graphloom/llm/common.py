@@ -7,9 +7,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.hot import fresh
 from graphloom.scratch import materialize
 
-__all__ = ["ascii_lower", "checked_broadcast", "fold", "materialize", "small_batches", "table", "without_rows"]
+__all__ = ["ascii_lower", "checked_broadcast", "fold", "fresh", "materialize", "small_batches", "table", "without_rows"]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 500  # texts that go to a Python worker at once
@@ -52,16 +53,18 @@ def small_batches(df: DataFrame) -> DataFrame:
 def without_rows(docs: DataFrame, named: DataFrame, doc_id: Column, text_key: Column, whole: Column, limit: int) -> DataFrame:
     """``docs``, all columns, without the rows named as gone and with one row of each that repeats.
 
-    ``named`` is a written table of distinct (_id, _text, gone): rows of that id and text key go if
+    ``named`` is a written table of distinct (id, text, gone): rows of that id and text key go if
     ``gone``, else any one of each id and ``whole``, which tells texts apart for certain, stays. It is
     counted and broadcast if within ``limit``. Only rows that repeat are shuffled, after a map-side part.
+    ``docs`` may have columns of any names.
     """
-    same = doc_id.eqNullSafe(F.col("_id")) & text_key.eqNullSafe(F.col("_text"))
-    names = named.select("_id", "_text")
-    left = docs.join(checked_broadcast(names, named.count(), limit), same, "left_anti")
-    again = named.filter(~F.col("gone")).select("_id", "_text")
+    own_id, own_text = fresh("own_id", docs), fresh("own_text", docs)
+    same = doc_id.eqNullSafe(F.col(own_id)) & text_key.eqNullSafe(F.col(own_text))
+    names = named.select(F.col("id").alias(own_id), F.col("text").alias(own_text), "gone")
+    left = docs.join(checked_broadcast(names.drop("gone"), named.count(), limit), same, "left_anti")
+    again = names.filter(~F.col("gone")).drop("gone")
     if not (n := again.count()):
         return left
     once = docs.join(checked_broadcast(again, n, limit), same, "left_semi")
-    once = once.withColumns({"_id": doc_id, "_text": whole}).dropDuplicates(["_id", "_text"])
-    return left.unionByName(once.drop("_id", "_text"))
+    once = once.withColumns({own_id: doc_id, own_text: whole}).dropDuplicates([own_id, own_text])
+    return left.unionByName(once.drop(own_id, own_text))

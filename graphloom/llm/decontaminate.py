@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, checked_broadcast, materialize
+from graphloom.llm.common import ascii_lower, checked_broadcast, fresh, materialize
 
 WIDTH = 10
 BROADCAST_ROWS = 500_000  # windows that are broadcast at most; more go through a shuffle
@@ -113,8 +113,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
     The keys of hit texts are written and counted; they are broadcast if few, else the anti join
     shuffles.
     """
-    key = _key(F.col("text"))
+    key, name = _key(F.col("text")), fresh("dirty", docs)
     found = hits(docs.select(key.alias("key"), F.col("text").cast("string").alias("text")), item_windows(benchmark, width))
-    dirty = materialize(found.select(F.col("key").alias("_dirty")).distinct(), "hits")
+    dirty = materialize(found.select(F.col("key").alias(name)).distinct(), "hits")
     dirty = checked_broadcast(dirty, dirty.count(), BROADCAST_ROWS)
-    return docs.join(dirty, key == F.col("_dirty"), "left_anti")
+    return docs.join(dirty, key == F.col(name), "left_anti")

@@ -210,7 +210,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
         F.bool_and("kept").alias("kept"), F.count("*").alias("n")
     )
     named = named.filter(~F.col("kept") | (F.col("n") > 1)).select(
-        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_text"), (~F.col("kept")).alias("gone")
+        F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("text"), (~F.col("kept")).alias("gone")
     )
     named = materialize(named, "copies")
     key = digest(F.col("text"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from graphloom.llm.common import checked_broadcast, materialize
+from graphloom.llm.common import checked_broadcast, fresh, materialize
 
 WORDS = 50  # words that a repeated run has at least
 BROADCAST_ROWS = 500_000  # texts with removed lines that are broadcast at most
@@ -127,19 +127,21 @@ def dedupe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     document and lose the same lines. A null text stays null. Rows without an id come first. All
     other columns stay; ``n_removed`` replaces a column of that name.
     """
-    gone = materialize(removed(docs, words), "removed").select(F.col("doc").alias("_doc"), F.col("ranges").alias("_ranges"))
+    key, doc, ranges = (fresh(name, docs) for name in ("key_of_doc", "doc", "ranges"))
+    gone = materialize(removed(docs, words), "removed").select(F.col("doc").alias(doc), F.col("ranges").alias(ranges))
     gone = checked_broadcast(gone, gone.count(), BROADCAST_ROWS)
-    out = docs.withColumn("_key", _doc())
-    out = out.join(gone, F.col("_key").eqNullSafe(F.col("_doc")), "left")
+    out = docs.withColumn(key, _doc())
+    out = out.join(gone, F.col(key).eqNullSafe(F.col(doc)), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(lines, lambda _, k: ~F.exists("_ranges", lambda r: k.between(r["first"], r["last"])))
-    n = F.aggregate("_ranges", F.lit(0).cast("bigint"), lambda total, r: total + r["last"] - r["first"] + 1)
+    kept = F.filter(lines, lambda _, k: ~F.exists(ranges, lambda r: k.between(r["first"], r["last"])))
+    n = F.aggregate(ranges, F.lit(0).cast("bigint"), lambda total, r: total + r["last"] - r["first"] + 1)
     return (
-        out.withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        out.withColumn("text", F.when(F.col(ranges).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
         .withColumn("n_removed", F.coalesce(n, F.lit(0).cast("bigint")))
-        .drop("_key", "_doc", "_ranges")
+        .drop(key, doc, ranges)
     )
 
 
 def op1(docs: DataFrame) -> DataFrame:
+    """All rows with the lines left of them; cases as in ``dedupe``."""
     return dedupe(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))

@@ -27,6 +27,7 @@ from pyspark.sql.types import BooleanType, IntegerType
 
 from graphloom.llm.common import checked_broadcast, materialize, small_batches, without_rows
 from graphloom.llm.components import components
+from graphloom.operators.hot import join_spread
 
 WORDS = 5  # words of a shingle
 SYMBOLS = 128  # symbols of a signature
@@ -294,10 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _signed, "doc_id bigint, text_hash bigint, n bigint, set_hash binary, sign binary"
     )
     signed = materialize(signed, "signatures")
-    groups = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(
-        F.min("doc_id").alias("id"), F.first("sign").alias("sign")
-    )
-    groups = materialize(groups, "distinct-sets")
+    groups, named = _named_sets(signed)
     keyed = groups.select("id", "sign").mapInArrow(_keyed, "key bigint, id bigint")
     ends = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
     ends = materialize(ends.filter("n > 1"), "shared-keys")
@@ -320,14 +318,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     involved = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     involved = materialize(involved, "involved")
     wanted = checked_broadcast(involved, involved.count(), BROADCAST_ROWS)
-    texts = clean.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+    if named:
+        texts = clean.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+    else:
+        chosen = groups.join(wanted, "id", "left_semi").select("id", F.col("first").alias("doc_id"), "text_hash")
+        texts = clean.withColumn("text_hash", F.xxhash64("text")).join(chosen, ["doc_id", "text_hash"]).select("id", "text")
     sets = texts.mapInArrow(_full, "id bigint, n bigint, shingles binary, wide binary, least binary")
     sets = materialize(sets, "sets")
     links = _confirm(near, sets, "star-links")
     labels = components(links)
     more = _confirm(_residual(members.select("key", "id"), labels, sets), sets, "more-links")
     labels = components(links.unionByName(more))
-    found = groups.join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component"))
+    found = groups.join(labels, "id", "left").select("set_hash", "first", F.coalesce("label", "id").alias("component"))
+    if not named:
+        smallest = found.groupBy("component").agg(F.min("first").alias("smallest"))
+        found = join_spread(found, smallest, ["component"], ["set_hash"]).drop("component").withColumnRenamed("smallest", "component")
+    found = found.select("set_hash", "component")
     out = signed.select("doc_id", "text_hash", "n", "set_hash").join(found, "set_hash", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
@@ -339,6 +345,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _named_sets(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """Distinct sets (set_hash, id, first, text_hash, sign), and whether ``id`` is ``first``, the smallest doc_id, for all.
+
+    ``text_hash`` is that of a text of ``first`` with the set. Where rows of one doc_id have unlike
+    texts, several sets can have the same first one. Those after the first get names of their own, below all ids.
+    """
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")
+    groups = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(one, F.first("sign").alias("sign"))
+    groups = groups.select("set_hash", F.col("one.doc_id").alias("first"), "one.text_hash", "sign")
+    groups = materialize(groups, "distinct-sets")
+    shared = groups.groupBy("first").agg(F.count("*").alias("n"), F.min("set_hash").alias("lowest")).filter("n > 1")
+    shared = materialize(shared, "shared-ids")
+    if shared.isEmpty():
+        return groups.withColumn("id", F.col("first")), True
+    below = groups.agg(F.min("first")).first()[0] - 1
+    own = F.col("n").isNull() | (F.col("set_hash") == F.col("lowest"))
+    name = F.when(own, F.col("first")).otherwise(F.lit(below) - F.monotonically_increasing_id())
+    named = groups.join(shared, "first", "left").withColumn("id", name).drop("n", "lowest")
+    return materialize(named, "named-sets"), False
+
+
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each group: the one with the smallest id.
 
@@ -350,7 +377,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
         F.bool_and("kept").alias("kept"), F.count("*").alias("n")
     )
     named = named.filter(~F.col("kept") | (F.col("n") > 1)).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), (~F.col("kept")).alias("gone")
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("text"), (~F.col("kept")).alias("gone")
     )
     named = materialize(named, "copies")
     text = F.col("text").cast("string")

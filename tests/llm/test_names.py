@@ -1,0 +1,74 @@
+"""Tables with columns named like what the operators add for themselves, and rows that repeat ids."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, pii, quality, toxicity
+from tests.llm import brute
+from tests.llm.conftest import AWKWARD, edited, prose
+
+OWN = (
+    "_id _text _doc _key _ranges _dirty _found _e _p _tries own_id own_text dirty doc key key_of_doc ranges found "
+    "matches parts tries text_key id gone a b label n size first name salt key_hash salts held _row block"
+).split()
+
+
+def rows():
+    long = prose(1, 120)
+    texts = [long, long, edited(long, 2, 3), prose(3, 80) + "\n" + long, "Mr. Ann Bell, 10.2.3.4", prose(5, 60)]
+    return [*enumerate(texts), (0, texts[0]), (None, texts[5]), *AWKWARD]
+
+
+@pytest.fixture
+def crowded(docs):
+    """The rows with a column of each of the names, all with one value."""
+    return docs(rows()).select("*", *[F.lit(f"own {c}").alias(c) for c in OWN])
+
+
+def operators(spark):
+    items = spark.createDataFrame([(1, " ".join(prose(5, 60).split()[3:20])), (2, None)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1)], "doc_id bigint, quality int, toxic int")
+    return {
+        "line_dedup": lambda d: line_dedup.dedupe(d, 30),
+        "decontaminate": lambda d: decontaminate.clean(d, items),
+        "exact_dedup": exact_dedup.without_copies,
+        "minhash": minhash.without_copies,
+        "pii": lambda d: pii.replace(d, "k"),
+        "langid": lambda d: langid.identify(d, langid.fit(d)),
+        "quality": lambda d: quality.score(d, quality.fit(d, labels)),
+        "toxicity": lambda d: toxicity.clean(d, toxicity.fit(d, labels)),
+        "toxicity_score": lambda d: toxicity.score(d, toxicity.fit(d, labels)),
+    }
+
+
+@pytest.mark.parametrize("name", ["line_dedup", "decontaminate", "exact_dedup", "minhash", "pii", "langid", "quality", "toxicity", "toxicity_score"])
+def test_columns_of_any_name_stay(spark, docs, crowded, name):
+    run = operators(spark)[name]
+    made, plain = run(crowded), run(docs(rows()))
+    assert set(OWN) <= set(made.columns)
+    got = made.collect()
+    assert all(r[c] == f"own {c}" for r in got for c in OWN)
+    key = ["doc_id", "text"]
+    assert sorted(str([r[c] for c in key]) for r in got) == sorted(str([r[c] for c in key]) for r in plain.collect())
+    assert run(crowded.limit(0)).collect() == []
+
+
+def test_unlike_texts_of_one_id_are_documents_of_their_own(docs):
+    """An id that rows of unlike texts share links none of them with the others."""
+    t, u, v = prose(11, 90), prose(12, 90), prose(13, 70)
+    table = [(2, t), (3, t + " end"), (3, u), (3, u), (5, edited(u, 1, 2)), (3, v), (9, v + " more"), (9, prose(14, 50)), (4, "")]
+    got = minhash.near_duplicates(docs(table)).collect()
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+    sizes = {text: len(brute.shingles(text)) for _, text in table}
+    first = {t: 2, t + " end": 2, u: 3, edited(u, 1, 2): 3, v: 3, v + " more": 3, prose(14, 50): 9, "": 4}
+    assert found == sorted((d, sizes[x], first[x], d == first[x]) for d, x in table)
+    left = sorted((r.doc_id, r.text) for r in minhash.without_copies(docs(table)).collect())
+    assert left == sorted([(2, t), (3, u), (3, v), (9, prose(14, 50)), (4, "")])
+
+
+def test_words_of_small_languages_are_learned(spark):
+    """However many words one language has, none of another goes."""
+    table = [(k, " ".join(f"w{'abcdefghij'[(k * j) % 10]}{'klmnopqrst'[j % 10]}x{'uvwxyz'[k % 6]}" for j in range(60)), "big") for k in range(60)]
+    table += [(100 + k, "ordo rarus verba", "small") for k in range(12)]
+    model = langid.fit(spark.createDataFrame(table, "doc_id bigint, text string, lang string"))
+    assert {"ordo", "rarus", "verba"} <= set(model.words) and set(model.languages) == {"big", "small"}
