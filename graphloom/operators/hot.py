@@ -12,7 +12,6 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
 COUNTERS = 16  # per shuffle partition: a key of one task's share of the rows is found for certain from 7 on
 MOST = 1_000_000  # counters that Spark allows a summary
@@ -51,9 +50,9 @@ def join_spread(rows: DataFrame, side: DataFrame, keys: list[str], by: list[str]
     spread as well. The hot keys are two numbers each and at most one per shuffle partition, so
     they are broadcast, in both places from one exchange.
     """
-    types = [{f.name: f.dataType for f in df.schema.fields} for df in (rows, side)]
+    types = [{f.name: f.dataType.simpleString() for f in df.schema.fields} for df in (rows, side)]
     for key in keys:
-        if types[0][key] != types[1][key] or isinstance(types[0][key], (FloatType, DoubleType)):
+        if types[0][key] != types[1][key] or any(t in types[0][key] for t in ("float", "double")):
             raise TypeError(f"{key} must be of one type on both sides, and none with several zeros")
     name, salts, salt = (fresh(n, rows, side) for n in ("key_hash", "salts", "salt"))
     hot = F.broadcast(hot_keys(rows, keys).toDF(name, salts))

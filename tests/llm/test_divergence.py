@@ -67,12 +67,32 @@ def test_equals_the_plain_rule(spark, seed):
     assert audited(spark, rows, documents=2) == plain(rows, 2)
 
 
-def test_flushed_counts_add_up(spark, monkeypatch):
+def test_sums_given_out_often_add_up(spark, monkeypatch):
     rows = many(3)
-    chunks = spark.createDataFrame([(*row, 1.5, "", "") for row in rows], ROWS).coalesce(1)
-    whole = {tuple(r) for r in divergence.chunk_counts(chunks).collect()}
+    docs = spark.createDataFrame([(*row, 1.5, "", "") for row in rows], ROWS).coalesce(1)
+    whole = {tuple(r) for r in divergence.term_counts(divergence.chunk_counts(docs)).collect()}
     monkeypatch.setattr(divergence, "HELD", 5)
-    assert {tuple(r) for r in divergence.chunk_counts(chunks).collect()} == whole
+    assert divergence.chunk_counts(docs).count() > 100
+    assert {tuple(r) for r in divergence.term_counts(divergence.chunk_counts(docs)).collect()} == whole
+
+
+@pytest.mark.parametrize("start", [0, 10**14])
+def test_documents_of_a_term_are_counted_up_to_three(spark, start):
+    """Sums of rows of one term, against the distinct rows that they name."""
+    rng = random.Random(start)
+    rows, want = [], {}
+    for k in range(300):
+        named = set()
+        for c in range(rng.randrange(1, 5)):
+            docs = sorted(start + rng.randrange(6) for _ in range(rng.choice([1, 2])))
+            docs = docs if docs[0] != docs[-1] else docs[:1]
+            rows.append(("x", "s", f"{c}term{'abcdefghij'[k % 10] * (k // 10 + 1)}".encode(), 1, len(docs), docs[0], docs[-1]))
+            named |= set(docs)
+        want[rows[-1][2][1:].decode()] = min(3, len(named))
+    rows.append(("x", "s", b"often", 9, 7, start, start + 6))
+    sums = spark.createDataFrame(rows, divergence.COUNTS).repartition("chunk")
+    got = {r.term: r.docs for r in divergence.term_counts(sums).collect()}
+    assert got == want | {"often": 3} and set(want.values()) == {1, 2, 3}
 
 
 def test_documents_of_a_term_over_several_chunks(spark):
