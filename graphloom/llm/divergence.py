@@ -7,6 +7,7 @@ its counts. What follows works on terms per language and source, all in whole nu
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,85 +21,129 @@ DOCUMENTS = 3  # of a language that must hold a term for it to be kept
 TERMS = 200  # terms of a group in the report
 UNIT = 1_000_000_000  # shares are in billionths
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-HELD = 200_000  # chunks whose counts a task holds
-HELD_BYTES = 32_000_000
+WIDE = "decimal(38,0)"
+MARKS = bytes(c for c in range(128) if not chr(c).isalpha())  # ASCII that is in no term
+HELD = 1_000_000  # chunks whose counts a task holds
+HELD_BYTES = 64_000_000
 COUNTS = "lang string, source string, chunk binary, n bigint, docs bigint, first bigint, last bigint"
 
 
+class _Held:
+    """Sums per (lang, source, chunk) of the documents that a task has counted since they were last given out."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], tuple[int, dict[bytes, int]]] = {}
+        self.chunks: list[bytes] = []
+        self.size = 0
+        self.group, self.n, self.docs, self.first, self.last = (array("q") for _ in range(5))
+
+    def add(self, lang: str, source: str, row: int, text: bytes) -> None:
+        """Count the chunks of a document, without the marks around them, which are in no term.
+
+        For bytes, white space and letters with a lower case are those of ASCII.
+        """
+        if (lang, source) not in self.groups:
+            self.groups[lang, source] = (len(self.groups), {})
+        group, places = self.groups[lang, source]
+        n, docs, last = self.n, self.docs, self.last
+        counted: Counter[bytes] = Counter()
+        for chunk, times in Counter(text.lower().split()).items():
+            counted[chunk.strip(MARKS)] += times
+        counted.pop(b"", None)
+        for chunk, times in counted.items():
+            if (at := places.get(chunk)) is not None:
+                n[at] += times
+                docs[at] += 1
+                last[at] = row
+            else:
+                places[chunk] = len(n)
+                self.chunks.append(chunk)
+                self.size += len(chunk)
+                self.group.append(group)
+                n.append(times)
+                docs.append(1)
+                self.first.append(row)
+                last.append(row)
+
+    def batch(self) -> pa.RecordBatch:
+        names = [pa.array(part, pa.string()) for part in zip(*self.groups)] or [pa.array([], pa.string())] * 2
+        group = pa.array(self.group, pa.int64())
+        sums = [pa.array(x, pa.int64()) for x in (self.n, self.docs, self.first, self.last)]
+        columns = [*(x.take(group) for x in names), pa.array(self.chunks, pa.binary()), *sums]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "chunk", "n", "docs", "first", "last"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of each document counted, then summed per (lang, source, chunk) until too many are held."""
-    names = ["lang", "source", "chunk", "n", "docs", "first", "last"]
-    types = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    entries = size = 0
-
-    def made() -> Iterator[pa.RecordBatch]:
-        for (lang, source), chunks in held.items():
-            if not (n := len(chunks)):
-                continue
-            columns = [[lang] * n, [source] * n, list(chunks), *zip(*chunks.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-        held.clear()
-
+    held = _Held()
     for batch in batches:
-        rows = (batch[c].to_pylist() for c in ("lang", "source", "row", "text"))
-        for lang, source, row, text in zip(*rows):
-            if (lang, source) not in held:
-                held[lang, source] = {}
-            chunks = held[lang, source]
-            # for bytes, white space and letters with a lower case are those of ASCII
-            for chunk, n in Counter(text.lower().split()).items():
-                if (sums := chunks.get(chunk)) is None:
-                    chunks[chunk] = [n, 1, row, row]
-                    entries, size = entries + 1, size + len(chunk)
-                else:
-                    sums[0] += n
-                    sums[1] += 1
-                    sums[3] = row
-            if entries >= HELD or size >= HELD_BYTES:
-                yield from made()
-                entries = size = 0
-    yield from made()
+        for row in zip(*(batch[c].to_pylist() for c in ("lang", "source", "row", "text"))):
+            held.add(*row)
+            if len(held.chunks) >= HELD or held.size >= HELD_BYTES:
+                yield held.batch()
+                held = _Held()
+    yield held.batch()
 
 
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """Per (lang, source, chunk): n occurrences, docs that hold it, the first and the last of these.
+def _group() -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
-    Documents are told apart by their row. With at most two of them, first and last name them all.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = small_batches(docs).select(*_group(), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    return (
-        rows.mapInArrow(_count, COUNTS)
-        .groupBy("lang", "source", "chunk")
-        .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-    )
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number for each, ``row``, rising within a task.
 
-def _group() -> list[Column]:
-    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
+    Numbers are as small as the rows are few, as their squares are summed and many are shuffled: the place within
+    the task times the number of tasks, plus the task.
+    """
+    tasks = rows.rdd.getNumPartitions()  # of the plan: nothing runs for it
+    number = F.monotonically_increasing_id()
+    place = number.bitwiseAND(F.lit((1 << 33) - 1))  # fixed by Spark: the task is above the low 33 bits
+    task = F.shiftright(number, 33)
+    known = F.when(task < tasks, place * tasks + task).otherwise(F.raise_error(F.lit("more tasks than planned")))
+    return rows.withColumn("row", known.cast("bigint"))
 
 
-def term_rows(chunks: DataFrame) -> DataFrame:
-    """The counts of each chunk once for each of its terms; a distinct chunk is cut into terms once."""
-    terms = F.regexp_extract_all(F.col("chunk").cast("string"), F.lit(TERM), F.lit(0))
-    cut = chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
-    return chunks.join(cut, "chunk").drop("chunk")
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """Sums (lang, source, chunk, n, docs, first, last), one row or more for each chunk of a group, all
+    rows of a chunk in one partition: n occurrences in docs documents, from row first to row last."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = small_batches(docs).select(*_group(), text.alias("text"))
+    return _numbered(rows).mapInArrow(_count, COUNTS).repartition("chunk")
 
 
-def kept_terms(rows: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """(lang, term) of terms in at least ``documents`` (2 or 3) documents of the language.
+def term_counts(sums: DataFrame) -> DataFrame:
+    """Per (lang, source, term): n occurrences, and docs, the number of documents with it, 3 for 3 or more.
 
-    A chunk in that many settles it. Else all documents of its chunks are named by first and last,
-    and the distinct ones are counted.
+    All sums of a chunk are in one partition. They become one row per distinct chunk, which holds at most one
+    entry for each group and is cut into terms once; its terms then go with each of its entries.
+
+    Documents of a chunk with 3 or more settle the number for its terms. Else first and last name all
+    of them, and over the chunks of a term it takes the smallest and the largest that are named to know if there
+    is one between: the sum of (x - smallest) (largest - x) is 0 only if there is none, and it
+    follows from the sums of x and its square. So documents are counted without being listed.
     """
-    if documents not in (2, 3):
-        raise ValueError("the documents of a chunk are named up to two")
-    many = F.col("docs") >= documents
-    named = F.explode(F.when(many, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array("first", "last")))
-    found = rows.select("lang", "term", named.alias("row")).distinct()
-    weight = F.when(F.col("row") < 0, documents).otherwise(1)
-    return found.groupBy("lang", "term").agg(F.sum(weight).alias("docs")).filter(F.col("docs") >= documents).drop("docs")
+    chunks = sums.groupBy("lang", "source", "chunk").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    entry = F.struct("lang", "source", "n", "docs", "first", "last")
+    distinct = chunks.groupBy("chunk").agg(F.collect_list(entry).alias("entries"))
+    terms = F.regexp_extract_all(F.col("chunk").cast("string"), F.lit(TERM), F.lit(0))
+    each = distinct.select(F.explode(terms).alias("term"), "entries").select("term", F.inline("entries"))
+    few = F.col("docs") < 3
+    ends = [F.col(c).cast(WIDE) for c in ("first", "last")]
+    found = each.groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"),
+        F.min("first").cast(WIDE).alias("low"),
+        F.max("last").cast(WIDE).alias("high"),
+        F.max("docs").alias("most"),
+        F.sum(F.when(few, 2)).alias("named"),
+        F.sum(F.when(few, ends[0] + ends[1])).alias("one"),
+        F.sum(F.when(few, ends[0] * ends[0] + ends[1] * ends[1])).alias("two"),
+    )
+    low, high, named = F.col("low"), F.col("high"), F.col("named").cast(WIDE)
+    between = F.col("one") * (low + high) - F.col("two") - named * low * high
+    docs = F.when(F.col("most") > 2, 3).when(low == high, 1).when(between > 0, 3).otherwise(2)
+    return found.select("lang", "source", "term", "n", docs.alias("docs"))
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -112,32 +157,45 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _groups(docs: DataFrame, kept: DataFrame, uses: DataFrame) -> DataFrame:
+    """Per occurring (lang, source): its kept terms in use and their occurrences, those of the language, and
+    ``zero``, the share of a term that it does not have; null where the language keeps none."""
+    used = uses.groupBy("lang", "source").agg(F.count("*").alias("used"), F.sum("n").alias("sum"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_sum"))
+    both = docs.select(*_group()).distinct().join(used, ["lang", "source"], "left").join(langs, "lang", "left")
+    zero = _share(F.lit(0).cast("bigint"), F.col("sum"), F.col("terms"))
+    return both.fillna(0, ["used", "sum"]).withColumn("zero", zero)
+
+
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     """(lang, source, item, value) of each ordered pair of sources of a language.
 
     A term in neither source, or in one of them, has the share of a count of 0 there, which is one
     number per source. So the sum over all terms is a sum over terms in both, corrected
-    for what sums over the terms of each source, by the number of occurrences, have said of them.
+    for what sums over the terms of each source, by the number of occurrences, have said of them. A term
+    holds as many entries as it has sources, and their pairs are summed where they are made.
     """
     a, b = F.col("a"), F.col("b")
+    groups = groups.select("lang", F.struct("source", "terms", "used", "zero").alias("group"))
+    alike = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("n"))
+    alike = alike.select("lang", F.struct("source", "p", "n").alias("group"))
+    held = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "zero")).alias("held"))
+    met = held.select("lang", F.explode("held").alias("a"), "held").select("lang", "a", F.explode("held").alias("b"))
 
-    def sides(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        rest = [
-            side.select(*keys, F.struct(*[c for c in side.columns if c not in keys]).alias(name))
-            for name, side in (("a", left), ("b", right))
-        ]
-        return rest[0].join(rest[1], keys).filter(F.col("a.source") != F.col("b.source"))
+    def sides(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.withColumnRenamed("group", "a").join(right.withColumnRenamed("group", "b"), "lang")
 
     both = _gap(a.p, b.p) - _gap(a.p, b.zero) - _gap(a.zero, b.p) + _gap(a.zero, b.zero)
-    alike = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("n"))
     parts = [
-        (sides(shares, shares, ["lang", "term"]), both),
-        (sides(alike, groups, ["lang"]), a.n * _gap(a.p, b.zero)),
-        (sides(groups, alike, ["lang"]), b.n * _gap(a.zero, b.p)),
-        (sides(groups, groups, ["lang"]), F.coalesce((a.terms - a.used - b.used) * _gap(a.zero, b.zero), F.lit(0))),
+        (met, both),
+        (sides(alike, groups), a.n * _gap(a.p, b.zero)),
+        (sides(groups, alike), b.n * _gap(a.zero, b.p)),
+        (sides(groups, groups), F.coalesce((a.terms - a.used - b.used) * _gap(a.zero, b.zero), F.lit(0))),
     ]
     sums = [
-        part.groupBy("lang", a.source.alias("source"), b.source.alias("item")).agg(F.sum(value).alias("value"))
+        part.filter(a.source != b.source)
+        .groupBy("lang", a.source.alias("source"), b.source.alias("item"))
+        .agg(F.sum(value).alias("value"))
         for part, value in parts
     ]
     together = sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3])
@@ -156,37 +214,32 @@ def audit(docs: DataFrame, documents: int = DOCUMENTS, terms: int = TERMS) -> Da
     language without kept terms has pairs of value 0 and no terms; a group alone in its language has no
     pairs. An empty table gives no rows. Other columns are ignored.
 
-    Tables of chunk counts, of terms and of shares are written to the shared folder, each far smaller
-    than the texts and read more than once. The pairs are as many as the result has; no
-    task holds the terms of a group, as the best are chosen before they are shuffled.
+    Tables of terms and of shares are written to the shared folder, each far smaller than the texts and
+    read more than once. The pairs are as many as the result has; no task holds the terms of a group, as
+    the best are chosen before they are shuffled.
     """
-    rows = materialize(term_rows(materialize(chunk_counts(docs), "chunk-counts")), "term-rows")
-    kept = kept_terms(rows, documents)
-    counts = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.join(kept, ["lang", "term"]), "term-counts")
-    per_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    langs = per_lang.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("total"))
-    used = counts.groupBy("lang", "source").agg(F.count("*").alias("used"), F.sum("n").alias("sum"))
-    zero = F.lit(0).cast("bigint")
-    groups = (
-        docs.select(*_group())
-        .distinct()
-        .join(used, ["lang", "source"], "left")
-        .join(langs.select("lang", "terms"), "lang", "left")
-        .fillna(0, ["used", "sum"])
-        .select("lang", "source", "terms", "used", "sum", _share(zero, F.col("sum"), F.col("terms")).alias("zero"))
+    if not 1 <= documents <= 3:
+        raise ValueError("documents of a term are told apart up to three")
+    # a document has one source, so those of a language add up
+    kept = term_counts(chunk_counts(docs)).groupBy("lang", "term").agg(
+        F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("uses")
     )
-    groups = materialize(groups, "groups")
-    shares = counts.join(groups, ["lang", "source"]).select(
-        "lang", "term", "source", _share(F.col("n"), F.col("sum"), F.col("terms")).alias("p"), "zero"
+    kept = materialize(kept.filter(F.col("docs") >= documents).drop("docs"), "kept-terms")
+    uses = kept.select("lang", "term", "total", F.inline("uses"))
+    groups = materialize(_groups(docs, kept, uses), "groups")
+    n, total = F.col("n"), F.col("total")
+    shares = uses.join(groups, ["lang", "source"]).select(
+        "lang",
+        "term",
+        "source",
+        _share(n, F.col("sum"), F.col("terms")).alias("p"),
+        "zero",
+        _share(total, F.col("lang_sum"), F.col("terms")).alias("q"),
     )
     shares = materialize(shares, "shares")
-    pairs = _pairs(groups.drop("sum"), shares)
-    whole = per_lang.join(langs, "lang").select("lang", "term", _share(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
-    apart = (
-        shares.join(whole, ["lang", "term"])
-        .filter(F.col("p") > F.col("q"))
-        .select("lang", "source", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
+    pairs = _pairs(groups, shares.drop("q"))
+    apart = shares.filter(F.col("p") > F.col("q")).select(
+        "lang", "source", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value")
     )
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
