@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from graphloom.operators import nodes, relations, topk
 from graphloom.operators.clean import dedupe_latest
 from graphloom.scratch import materialize
-from tests.conftest import frame, shared, visits
+from tests.conftest import TINY, frame, shared, visits
 from tests.test_topk import brute_force, ranking
 
 
@@ -80,10 +81,14 @@ def test_many_sets_of_hubs_are_compared_in_blocks(spark, monkeypatch, block, str
     assert used and got == brute_force(shared([(i, u) for u, i, r, ts in rows]), 3)
 
 
-def test_keys_are_numbered_from_one_written_copy(spark, tmp_path):
-    path = str(tmp_path / "rows")
-    frame(spark, visits(6)).withColumns({c: F.col(c).cast("string") for c in "ui"}).write.parquet(path)
-    rows = spark.read.parquet(path)
+def test_names_are_joined_once_and_then_numbered(spark):
+    assert "lineitem" not in "".join(registry._number_keys(spark, TINY).inputFiles())
+
+
+def test_a_numbered_side_goes_on_without_its_text(spark):
+    rows = frame(spark, visits(6)).withColumns({c: F.col(c).cast("string") for c in "ui"})
+    rows = materialize(rows, "rows")
     numbered = nodes.number_keys(rows, nodes.node_index(rows))
-    assert path not in "".join(numbered.inputFiles())
+    last = numbered._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "u#" not in last.split("Project [", 1)[1].split("]", 1)[0]
     assert numbered.count() == rows.count() and numbered.where("u IS NULL OR i IS NULL").isEmpty()
