@@ -1,5 +1,7 @@
 """How the work is laid out: what is written, shuffled and read once."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from graphloom.operators import nodes, relations, topk
 from graphloom.operators.clean import dedupe_latest
 from graphloom.scratch import materialize
 from tests.conftest import TINY, frame, shared, visits
+from tests.test_relations import overlap
 from tests.test_topk import brute_force, ranking
 
 
@@ -92,3 +95,38 @@ def test_a_numbered_side_goes_on_without_its_text(spark):
     last = numbered._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
     assert "u#" not in last.split("Project [", 1)[1].split("]", 1)[0]
     assert numbered.count() == rows.count() and numbered.where("u IS NULL OR i IS NULL").isEmpty()
+
+
+def long_texts(seed: int) -> list[tuple]:
+    """Texts of 33 to 300 tokens in families that share half of their tokens, more or less."""
+    rng = random.Random(seed)
+    texts = []
+    for family in range(6):
+        own = [f"f{family}x{k}" for k in range(rng.choice([40, 150, 300]))]
+        for n in range(7):
+            kept = [t for t in own if rng.random() < rng.choice([0.6, 0.7, 0.8])]
+            texts.append((family * 10 + n, " ".join(kept + [f"y{rng.randrange(60)}" for _ in range(rng.randrange(20))])))
+    return texts
+
+
+@pytest.mark.parametrize("percent", [20, 40, 50])
+def test_long_texts_by_brute_force(spark, percent):
+    texts = long_texts(percent)
+    _, want = overlap(texts, percent)
+    got = relations.text_overlap(spark.createDataFrame(texts, "doc_id bigint, text string"), percent, 8)
+    assert want and {(r.src, r.dst): r.w for r in got.pairs.collect()} == want
+
+
+def test_one_rare_token_makes_no_candidates_of_long_texts(spark, monkeypatch):
+    tables = {}
+
+    def noted(df, label):
+        tables[label] = materialize(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(relations, "materialize", noted)
+    words = [" ".join(f"w{n}x{k}" for k in range(150)) for n in range(10)]
+    texts = [(n, f"rare {text}") for n, text in enumerate(words)] + [(100, f"{words[0]} more")]
+    found = relations.text_overlap(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    assert [tuple(r) for r in found.pairs.collect()] == [(0, 100, 150)]
+    assert tables["alike-candidates"].count() == 1
