@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from graphloom.operators import nodes, relations, topk
+from graphloom.operators import counts, nodes, relations, topk
 from graphloom.operators.clean import dedupe_latest
 from graphloom.scratch import materialize
 from tests.conftest import TINY, frame, shared, visits
@@ -130,3 +130,37 @@ def test_one_rare_token_makes_no_candidates_of_long_texts(spark, monkeypatch):
     found = relations.text_overlap(spark.createDataFrame(texts, "doc_id bigint, text string"))
     assert [tuple(r) for r in found.pairs.collect()] == [(0, 100, 150)]
     assert tables["alike-candidates"].count() == 1
+
+
+def test_keys_are_counted_without_joining_members_to_them(spark, monkeypatch):
+    plans = []
+
+    def noted(df, label):
+        plans.append(plan(df))
+        return materialize(df, label)
+
+    monkeypatch.setattr(counts, "materialize", noted)
+    rows = visits(8) + [(200, 0, 2, None), (201, 99, 3, None)]
+    for build in (relations.co_user, relations.same_rating, relations.rating_within_days):
+        relation = relations.with_members(build(frame(spark, rows)))
+        counted = counts.key_counts(relation)
+        got = counted.first()
+        # one row per dataset is what is joined
+        assert all("Join" not in p for p in plans) and "approx_top_k" not in plan(counted)
+        per_node = counts.partners(relation).groupBy("u").agg(F.sum("partners").alias("n"))
+        met = per_node.agg(F.count_if(F.col("n") > 0).alias("touched"), F.sum("n").alias("n")).first()
+        sizes = [r.n for r in relation.members.groupBy(*relation.keys).agg(F.countDistinct("u").alias("n")).collect()]
+        assert tuple(got) == ("t", met.touched, len(sizes), sum(sizes), max(sizes), met.n // 2)
+        assert relations.count_pairs(relation, 7).first().pairs == relations.pairs(relation).count()
+
+
+def test_sketches_of_large_keys_do_not_go_with_their_members(spark, monkeypatch):
+    rows = [(u, i, 1, None) for u in range(1500) for i in range(3)] + [(u, 100 + u // 4, 2, None) for u in range(60)]
+    relation = relations.co_user(frame(spark, rows))
+    made = counts.neighbours(relation)
+    got = {r.node: r.neighbours for r in made.collect()}
+    assert "BroadcastHashJoin" in plan(made) and len(got) == 1500
+    assert all(abs(n - 1499) <= 0.1 * 1499 for n in got.values())
+    monkeypatch.setattr(counts, "FULL", 0)
+    other = {r.node: r.neighbours for r in counts.neighbours(relation).collect()}
+    assert all(abs(n - 1499) <= 0.1 * 1499 for n in other.values()) and len(other) == 1500
