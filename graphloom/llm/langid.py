@@ -9,6 +9,8 @@ from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,10 @@ def _words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies per language; row k of a table belongs to the entry with value k."""
+    """Log frequencies per language; row k of a table belongs to the entry with value k.
+
+    It is sent as two long strings instead of an object per entry; no entry has a line break.
+    """
 
     languages: list[str]
     words: dict[str, int]
@@ -41,6 +46,9 @@ class Model:
     grams: dict[str, int]
     gram_rows: np.ndarray
 
+    def __reduce__(self) -> tuple:
+        return _model, (self.languages, "\n".join(self.words), self.word_rows, "\n".join(self.grams), self.gram_rows)
+
     def unseen(self, word: str) -> np.ndarray:
         """The mean of its longest known character runs, or nothing for any language."""
         marked = f"_{word}_"
@@ -51,6 +59,11 @@ class Model:
         return np.zeros(len(self.languages))
 
 
+def _model(languages: list[str], words: str, word_rows: np.ndarray, grams: str, gram_rows: np.ndarray) -> Model:
+    tables = ({e: k for k, e in enumerate(x.split("\n") if x else [])} for x in (words, grams))
+    return Model(languages, next(tables), word_rows, next(tables), gram_rows)
+
+
 class Scorer:
     """Scores texts by a model, with a bounded cache of unseen words."""
 
@@ -91,17 +104,32 @@ class Scorer:
         return names, scores
 
 
-def _rows(counts: pd.DataFrame, languages: list[str], key: str) -> tuple[dict[str, int], np.ndarray]:
-    wide = counts.pivot_table(index=key, columns="lang", values="n", aggfunc="sum", fill_value=0)
-    wide = wide.reindex(columns=languages, fill_value=0).astype(float)
-    values = wide.to_numpy() + 0.1
-    return {w: k for k, w in enumerate(wide.index)}, np.log(values / values.sum(axis=0, keepdims=True))
+def _rows(counts: pa.Table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Place and log frequencies of each entry, from (entry, [(lang, n)]), in the order of the entries."""
+    names = pc.list_flatten(counts["seen"]).combine_chunks()
+    row = pc.list_parent_indices(counts["seen"]).to_numpy()
+    column = pc.index_in(names.field("lang"), pa.array(languages, pa.string())).to_numpy()
+    order = pc.sort_indices(counts, [("entry", "ascending")]).to_numpy()
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order), dtype=order.dtype)
+    values = np.full((len(order), len(languages)), 0.1)
+    values[place[row], column] += names.field("n").to_numpy()  # one for each entry and language
+    values /= values.sum(axis=0, keepdims=True)
+    entries = counts["entry"].take(pa.array(order)).to_pylist()
+    return {e: k for k, e in enumerate(entries)}, np.log(values, out=values)
+
+
+def _seen(counts: DataFrame, key: str) -> pa.Table:
+    """(entry, [(lang, n)]) of all entries seen ``LEAST`` times or more. They are those of a bounded sample, so
+    collected: one row for each, as Arrow holds them, as rows of Python and a pivot are many times as large."""
+    entries = counts.groupBy(F.col(key).alias("entry")).agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("seen")
+    )
+    return entries.filter(F.col("total") >= LEAST).select("entry", "seen").toArrow()
 
 
-def _seen(counts: DataFrame, key: str) -> pd.DataFrame:
-    """Counts of all entries seen ``LEAST`` times or more; they are those of a bounded sample, so collected."""
-    held = counts.groupBy(key).agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST).select(key)
-    return counts.join(held, key).select(key, "lang", "n").toPandas()
+def _languages(counts: pa.Table) -> set[str]:
+    return set(pc.list_flatten(counts["seen"]).combine_chunks().field("lang").unique().to_pylist())
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Model:
@@ -132,10 +160,10 @@ def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAM
     word_counts = _seen(words, "word")
     gram_counts = _seen(grams, "gram")
     words.unpersist()
-    languages = sorted(set(word_counts["lang"]) | set(gram_counts["lang"]))
+    languages = sorted(_languages(word_counts) | _languages(gram_counts))
     if not languages:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    return Model(languages, *_rows(word_counts, languages, "word"), *_rows(gram_counts, languages, "gram"))
+    return Model(languages, *_rows(word_counts, languages), *_rows(gram_counts, languages))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

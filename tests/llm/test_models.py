@@ -1,5 +1,7 @@
+import pickle
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -97,6 +99,26 @@ def test_languages_of_awkward_rows(spark, docs):
     assert found[50][0] == "de" and found[1][0] == "de" and found[2][0] == "en"
 
 
+def test_language_counts_reach_the_driver_without_rows_of_python(spark, monkeypatch):
+    """The model is that of a pivot of the counts, and is the same once sent."""
+    rows = [(d, "der die das und é" if d % 2 else "the of and die", "de" if d % 2 else "en") for d in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(type(table), name, lambda self: pytest.fail("rows of Python"))
+    model = langid.fit(table)
+    monkeypatch.undo()
+    counted = Counter((w, r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 for w in r[1].split())
+    words = sorted({w for w, _ in counted})
+    assert model.languages == ["de", "en"] and model.words == {w: k for k, w in enumerate(words)}
+    values = np.array([[counted[w, lang] + 0.1 for lang in model.languages] for w in words])
+    assert np.allclose(model.word_rows, np.log(values / values.sum(axis=0)))
+    sent = pickle.loads(pickle.dumps(model))
+    assert (sent.words, sent.grams, sent.languages) == (model.words, model.grams, model.languages)
+    assert (sent.word_rows == model.word_rows).all() and (sent.gram_rows == model.gram_rows).all()
+    empty = pickle.loads(pickle.dumps(langid.Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))))
+    assert empty.words == {} and empty.grams == {}
+
+
 def test_trees_learn_and_flat_arrays_walk_right():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))
