@@ -26,6 +26,8 @@ MARKS = bytes(c for c in range(128) if not chr(c).isalpha())  # ASCII that is in
 HELD = 1_000_000  # chunks whose counts a task holds
 HELD_BYTES = 64_000_000
 COUNTS = "lang string, source string, chunk binary, n bigint, docs bigint, first bigint, last bigint"
+# the same as it is shuffled, and compressed: what is alike in most rows lies side by side, and span is last - first
+PACKED = "lang string, source string, n bigint, docs bigint, span bigint, chunk binary, first bigint"
 
 
 class _Held:
@@ -35,7 +37,7 @@ class _Held:
         self.groups: dict[tuple[str, str], tuple[int, dict[bytes, int]]] = {}
         self.chunks: list[bytes] = []
         self.size = 0
-        self.group, self.n, self.docs, self.first, self.last = (array("q") for _ in range(5))
+        self.group, self.n, self.docs, self.first, self.span = (array("q") for _ in range(5))
 
     def add(self, lang: str, source: str, row: int, text: bytes) -> None:
         """Count the chunks of a document, without the marks around them, which are in no term.
@@ -45,16 +47,18 @@ class _Held:
         if (lang, source) not in self.groups:
             self.groups[lang, source] = (len(self.groups), {})
         group, places = self.groups[lang, source]
-        n, docs, last = self.n, self.docs, self.last
-        counted: Counter[bytes] = Counter()
+        n, docs, first, span = self.n, self.docs, self.first, self.span
+        counted: dict[bytes, int] = {}
+        so_far, marks = counted.get, MARKS
         for chunk, times in Counter(text.lower().split()).items():
-            counted[chunk.strip(MARKS)] += times
+            chunk = chunk.strip(marks)
+            counted[chunk] = so_far(chunk, 0) + times
         counted.pop(b"", None)
         for chunk, times in counted.items():
             if (at := places.get(chunk)) is not None:
                 n[at] += times
                 docs[at] += 1
-                last[at] = row
+                span[at] = row - first[at]
             else:
                 places[chunk] = len(n)
                 self.chunks.append(chunk)
@@ -62,15 +66,15 @@ class _Held:
                 self.group.append(group)
                 n.append(times)
                 docs.append(1)
-                self.first.append(row)
-                last.append(row)
+                first.append(row)
+                span.append(0)
 
     def batch(self) -> pa.RecordBatch:
         names = [pa.array(part, pa.string()) for part in zip(*self.groups)] or [pa.array([], pa.string())] * 2
         group = pa.array(self.group, pa.int64())
-        sums = [pa.array(x, pa.int64()) for x in (self.n, self.docs, self.first, self.last)]
-        columns = [*(x.take(group) for x in names), pa.array(self.chunks, pa.binary()), *sums]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "chunk", "n", "docs", "first", "last"])
+        n, docs, span, first = (pa.array(x, pa.int64()) for x in (self.n, self.docs, self.span, self.first))
+        columns = [*(x.take(group) for x in names), n, docs, span, pa.array(self.chunks, pa.binary()), first]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "n", "docs", "span", "chunk", "first"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,8 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     rows of a chunk in one partition: n occurrences in docs documents, from row first to row last."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = small_batches(docs).select(*_group(), text.alias("text"))
-    return _numbered(rows).mapInArrow(_count, COUNTS).repartition("chunk")
+    dealt = _numbered(rows).mapInArrow(_count, PACKED).repartition("chunk")
+    return dealt.withColumn("last", F.col("first") + F.col("span")).select("lang", "source", "chunk", "n", "docs", "first", "last")
 
 
 def term_counts(sums: DataFrame) -> DataFrame:

@@ -76,6 +76,16 @@ def test_sums_given_out_often_add_up(spark, monkeypatch):
     assert {tuple(r) for r in divergence.term_counts(divergence.chunk_counts(docs)).collect()} == whole
 
 
+def test_chunk_counts_are_shuffled_packed(spark):
+    """What is shuffled holds no last row, as most chunks have one document; sums are as counted by hand."""
+    docs = spark.createDataFrame([(k, t, "x", "s") for k, t in enumerate(["a, a b", "b c", "", "(a)"])], "doc_id bigint, text string, lang string, source string")
+    sums = divergence.chunk_counts(docs.coalesce(1))
+    dealt = sums._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "span#" in dealt and "last#" not in dealt
+    want = {(b"a", 3, 2, 0, 3), (b"b", 2, 2, 0, 1), (b"c", 1, 1, 1, 1)}
+    assert {tuple(r)[2:] for r in sums.collect()} == want and sums.columns == [c.split()[0] for c in divergence.COUNTS.split(", ")]
+
+
 @pytest.mark.parametrize("start", [0, 10**14])
 def test_documents_of_a_term_are_counted_up_to_three(spark, start):
     """Sums of rows of one term, against the distinct rows that they name."""
