@@ -1,8 +1,8 @@
 """How far the sources of a language are apart, by the words they use.
 
-Documents are taken apart into chunks between white space. Chunks are counted per document and summed
-over each task, each globally distinct chunk is cut into terms once, and its terms are joined back to
-its counts. What follows works on terms per language and source, all in whole numbers.
+Documents are cut into terms where they lie, and terms are counted per document and summed over each
+task, so that one shuffle of these sums by term gives what is kept. What follows works on terms per
+language and source, all in whole numbers.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ UNIT = 1_000_000_000  # shares are in billionths
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 WIDE = "decimal(38,0)"
 MARKS = bytes(c for c in range(128) if not chr(c).isalpha())  # ASCII that is in no term
-HELD = 1_000_000  # chunks whose counts a task holds
+#: what is in no term becomes a space and A-Z its lower case; bytes of other letters, from 128 on, stay
+CUT = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
+HELD = 1_000_000  # terms or chunks whose counts a task holds
 HELD_BYTES = 64_000_000
 COUNTS = "lang string, source string, chunk binary, n bigint, docs bigint, first bigint, last bigint"
 # the same as it is shuffled, and compressed: what is alike in most rows lies side by side, and span is last - first
 PACKED = "lang string, source string, n bigint, docs bigint, span bigint, chunk binary, first bigint"
+SUMS = "lang string, source string, n bigint, docs bigint, term binary"
 
 
 class _Held:
@@ -89,6 +92,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield held.batch()
 
 
+class _Terms:
+    """Sums per (lang, source, term) of the documents that a task has counted since they were last given out."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], tuple[int, dict[bytes, int]]] = {}
+        self.terms: list[bytes] = []
+        self.size = 0
+        self.group, self.n, self.docs = (array("q") for _ in range(3))
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        if (lang, source) not in self.groups:
+            self.groups[lang, source] = (len(self.groups), {})
+        group, places = self.groups[lang, source]
+        n, docs, place = self.n, self.docs, places.get
+        for term, times in Counter(text.translate(CUT).split()).items():
+            if (at := place(term)) is not None:
+                n[at] += times
+                docs[at] += 1
+            else:
+                places[term] = len(n)
+                self.terms.append(term)
+                self.size += len(term)
+                self.group.append(group)
+                n.append(times)
+                docs.append(1)
+
+    def batch(self) -> pa.RecordBatch:
+        names = [pa.array(part, pa.string()) for part in zip(*self.groups)] or [pa.array([], pa.string())] * 2
+        group = pa.array(self.group, pa.int64())
+        columns = [*(x.take(group) for x in names), *(pa.array(x, pa.int64()) for x in (self.n, self.docs)), pa.array(self.terms, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "n", "docs", "term"])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of each document counted, then summed per (lang, source, term) until too many are held."""
+    held = _Terms()
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text"))):
+            held.add(*row)
+            if len(held.terms) >= HELD or held.size >= HELD_BYTES:
+                yield held.batch()
+                held = _Terms()
+    yield held.batch()
+
+
 def _group() -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
@@ -107,6 +155,18 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row", known.cast("bigint"))
 
 
+def term_sums(docs: DataFrame) -> DataFrame:
+    """Sums (lang, source, term, n, docs), one row for each term of a group, all rows of a term in a
+    language in one partition: n occurrences in docs documents; term in UTF-8.
+
+    A document is counted in one task and as a whole, so documents add up without being told apart.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = small_batches(docs).select(*_group(), text.alias("text"))
+    dealt = rows.mapInArrow(_sum, SUMS).repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def chunk_counts(docs: DataFrame) -> DataFrame:
     """Sums (lang, source, chunk, n, docs, first, last), one row or more for each chunk of a group, all
     rows of a chunk in one partition: n occurrences in docs documents, from row first to row last."""
@@ -226,10 +286,11 @@ def audit(docs: DataFrame, documents: int = DOCUMENTS, terms: int = TERMS) -> Da
     if not 1 <= documents <= 3:
         raise ValueError("documents of a term are told apart up to three")
     # a document has one source, so those of a language add up
-    kept = term_counts(chunk_counts(docs)).groupBy("lang", "term").agg(
+    kept = term_sums(docs).groupBy("lang", "term").agg(
         F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("uses")
     )
-    kept = materialize(kept.filter(F.col("docs") >= documents).drop("docs"), "kept-terms")
+    kept = kept.filter(F.col("docs") >= documents).select("lang", F.col("term").cast("string").alias("term"), "total", "uses")
+    kept = materialize(kept, "kept-terms")
     uses = kept.select("lang", "term", "total", F.inline("uses"))
     groups = materialize(_groups(docs, kept, uses), "groups")
     n, total = F.col("n"), F.col("total")

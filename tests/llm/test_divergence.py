@@ -86,6 +86,23 @@ def test_chunk_counts_are_shuffled_packed(spark):
     assert {tuple(r)[2:] for r in sums.collect()} == want and sums.columns == [c.split()[0] for c in divergence.COUNTS.split(", ")]
 
 
+def test_terms_are_shuffled_once(spark, monkeypatch):
+    """Sums per term and group, and what is kept of them, take one shuffle; sums given out often add up."""
+    rows = [*many(4), (-1, "a, É-é (A)b" + "x" * 20_000, None, "s1"), (-2, "b\x00a中 K b", None, "s1")]
+    docs = spark.createDataFrame([(*row, 1.5, "", "") for row in rows], ROWS).coalesce(2)
+    want = Counter()
+    for _, text, lang, source in rows:
+        want.update({(lang or "", source or "", t, "n"): n for t, n in Counter(TERM.findall(lower(text))).items()})
+        want.update((lang or "", source or "", t, "docs") for t in set(TERM.findall(lower(text))))
+    monkeypatch.setattr(divergence, "HELD", 5)
+    sums = divergence.term_sums(docs)
+    got = {(r.lang, r.source, bytes(r.term).decode(), k): r[k] for r in sums.collect() for k in ("n", "docs")}
+    assert got == want and sums.count() * 2 == len(want)
+    per_lang = sums.groupBy("lang", "term").agg({"docs": "sum"})
+    plan = per_lang._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("start", [0, 10**14])
 def test_documents_of_a_term_are_counted_up_to_three(spark, start):
     """Sums of rows of one term, against the distinct rows that they name."""
