@@ -5,12 +5,16 @@ own, so the ids of a text are the ids of its pieces. Words repeat, so each Pytho
 ids of the words it has met and asks the library for new ones only. Texts with unusual white space,
 where the library and Python could disagree on what white space is, go to the library whole, and so
 do texts with the string of a special token.
+
+Words are kept under keys, as most pieces are one blank and a word: such a word is a key as it is, a piece
+that starts with white space is its own key, and one without any before it has a mark in front.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable
 from itertools import islice
 
@@ -23,9 +27,11 @@ _ODD = [
     + (0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 ]
 _UNEVEN = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"]
-_CUT = "\x1c"  # in no text that is cut, as it is one of the odd ones
+_BARE = "\x1c"  # in no text that is cut, as it is one of the odd ones
+_SPACE = " \t\n\x0b\x0c\r"
 _PIECE = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?*#%&$|)\"]*)")
+_WORD = re.compile("[\x1c\n ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "-.,;:!?*#%&$|)\""
 _CACHE = 300_000  # words in the younger half of the cache during a task
 _KEPT = 100_000  # words that a worker keeps between tasks, the ones it met first
 _loaded: dict[str, Encoder] = {}
@@ -59,18 +65,14 @@ class Encoder:
             and self.library.normalizer is None
         )
         self.model = self.library.model
-        self.blank = self._byte_level(" ")
-        latin = [chr(c) for c in range(256)]
-        encoded = [self._byte_level(c) for c in latin]
-        self.table = str.maketrans({c: e for c, e in zip(latin, encoded) if e is not None})
-
-    def _byte_level(self, char: str) -> str | None:
-        """How the library writes the byte with the number of ``char``."""
-        if not self.cuts:
-            return None
+        self.chars = "".join(map(self._byte_level, range(256))) if self.cuts else ""
+        self.blank = self.chars[32:33]
+        self.packed = [_packed([k]) for k in range(self.library.get_vocab_size())] if self.cuts else []
+
+    def _byte_level(self, byte: int) -> str:
+        """How the library writes a byte."""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        code = ord(char)
-        return char if code in plain else chr(256 + sum(c not in plain for c in range(code)))
+        return chr(byte if byte in plain else 256 + sum(c not in plain for c in range(byte)))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
@@ -94,8 +96,9 @@ class Encoder:
             if any(c in text for c in _UNEVEN) or text[0] in " \n" or text[-1] in " \n":
                 pieces = _PIECE.findall(text)
             else:
-                marked = text.replace("\n", _CUT + "\n" + _CUT).replace(" ", _CUT + " ")
-                pieces = marked.split(_CUT)
+                pieces = text.replace("\n", " \n").split(" ")
+            if pieces[0][0] not in _SPACE:
+                pieces[0] = _BARE + pieces[0]
             out[n] = b"".join(map(ids, pieces))
         for n, whole in zip(odd, self.whole([texts[n] for n in odd])):
             out[n] = whole
@@ -105,26 +108,31 @@ class Encoder:
         """At the end of a task: keep the words that were met first, which tend to be frequent ones."""
         self.words = _Words(self._ids, None, islice(self.words.items(), _KEPT))
 
-    def _ids(self, piece: str) -> bytes:
-        """Ids of a piece; a word and the marks after it are apart for the library too."""
-        if piece.isascii() and piece[0] == " " and piece[1:].isalpha():
-            return _packed([t.id for t in self.model.tokenize(self.blank + piece[1:])])
-        match = _SIMPLE.fullmatch(piece)
-        if not match:
-            return self.whole([piece])[0]
-        stem, marks = match.groups()
-        return self.words[stem] + self.words[marks] if marks else self._word(stem)
+    def _ids(self, key: str) -> bytes:
+        """Ids of the piece with a key; a word, the marks after it and a line end before it are apart for the library too."""
+        if key.isascii() and key.isalpha():
+            return self._word(self.blank + key)
+        stem = key.rstrip(_MARKS)
+        if not _WORD.fullmatch(stem):
+            return self.whole([_piece(key)])[0]
+        if len(stem) < len(key):
+            return self.words[stem] + self.words[_BARE + key[len(stem) :]]
+        if key[0] == "\n":
+            return self.words["\n"] + self.words[_BARE + key[1:]]
+        return self._word(charmap_decode(_piece(key).encode(), "strict", self.chars)[0])
+
+    def _word(self, coded: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(coded)])
+
 
-    def _word(self, word: str) -> bytes:
-        if word.isascii():
-            coded = word.replace(" ", self.blank)
-        else:
-            coded = word.encode().decode("latin-1").translate(self.table)
-        return _packed([t.id for t in self.model.tokenize(coded)])
+def _piece(key: str) -> str:
+    """The piece of a text that has this key."""
+    return key[1:] if key[0] == _BARE else key if key[0] in _SPACE else " " + key
 
 
 class _Words(dict):
-    """Ids by piece; what is missing is taken from an older cache, or made."""
+    """Ids by key; what is missing is taken from an older cache, or made."""
 
     def __init__(self, make: Callable[[str], bytes], old: dict | None = None, known: Iterable = ()):
         super().__init__(known)
@@ -132,9 +140,9 @@ class _Words(dict):
         if old is not None:
             old.old = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = dict.get(self.old, piece)
+    def __missing__(self, key: str) -> bytes:
+        ids = dict.get(self.old, key)
         if ids is None:
-            ids = self.make(piece)
-        self[piece] = ids
+            ids = self.make(key)
+        self[key] = ids
         return ids

@@ -32,6 +32,7 @@ from graphloom.scratch import scratch_path
 MAGIC = b"GLWM0001"
 END = 2
 BLOCK = 512  # bits between two entries of a directory
+PART = 1 << 17  # tokens that are moved at once, so that they and their places stay near the core; whole bytes of bits
 TOKENS = 4_000_000  # tokens of a shard, unless one document has more
 SHARDS = "part bigint, seq bigint, n_docs bigint, n_tokens bigint, file binary"
 
@@ -56,8 +57,15 @@ def write_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
         blocks = np.bitwise_count(full.view(np.uint64).reshape(-1, BLOCK // 64)).sum(axis=1, dtype=np.uint32)
         sections.append(pack(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4").tobytes()))
         zeros.append(len(ones) - int(blocks.sum()))
-        np.compress(~ones, now, out=spare[: zeros[-1]])
-        np.compress(ones, now, out=spare[zeros[-1] :])
+        low, high = 0, zeros[-1]
+        for at in range(0, len(now), PART):
+            some, up = now[at : at + PART], ones[at : at + PART]
+            places = np.flatnonzero(up)
+            some.take(places, out=spare[high : high + len(places)], mode="clip")
+            high += len(places)
+            places = np.flatnonzero(~up)
+            some.take(places, out=spare[low : low + len(places)], mode="clip")
+            low += len(places)
         now, spare = spare, now
     head = json.dumps(
         {"docs": len(doc_ids), "tokens": len(ids), "planes": width, "zeros": zeros, "sizes": [len(s) for s in sections]}
@@ -168,13 +176,21 @@ class Shard:
         """All tokens, plane by plane from the lowest."""
         small = np.uint16 if self.planes <= 16 else np.uint32
         values = np.zeros(self.n_tokens, small)
+        above = np.empty_like(values)
         for level in range(self.planes - 1, -1, -1):
             bits = np.frombuffer(self._bits(level), np.uint8)
-            ones = np.unpackbits(bits)[: self.n_tokens].astype(bool)
-            above = np.empty_like(values)
-            above[~ones] = values[: self.zeros[level]]
-            above[ones] = values[self.zeros[level] :] | small(1 << (self.planes - 1 - level))
-            values = above
+            low, high = 0, self.zeros[level]
+            values[high:] |= small(1 << (self.planes - 1 - level))
+            for at in range(0, self.n_tokens, PART):
+                up = np.unpackbits(bits[at // 8 : (at + PART) // 8])[: self.n_tokens - at].astype(bool)
+                some = above[at : at + PART]
+                places = np.flatnonzero(up)
+                some[places] = values[high : high + len(places)]
+                high += len(places)
+                places = np.flatnonzero(~up)
+                some[places] = values[low : low + len(places)]
+                low += len(places)
+            values, above = above, values
         return values.astype("<u4")
 
 

@@ -30,6 +30,15 @@ def test_cached_words_give_the_ids_of_the_library(encoder):
         assert encoder.encode(texts) == encoder.whole(texts)
 
 
+def test_a_word_is_kept_under_one_key():
+    """A word after a blank, a line end, marks or none of them; each is looked for without cutting the text twice."""
+    encoder = Encoder(PATH)
+    texts = ["Été to, be\nto be!\n\"to\" be", "to", ",", "be to \x0b be", " to", "to be\n", "\nto,\nbe ,, été,", "to\n,to,be\n...\nÀ"]
+    assert encoder.encode(texts) == encoder.whole(texts) == encoder.encode(texts)
+    for key, piece in (("be", " be"), ("\x1cto", "to"), ("\nto", "\nto"), ("be!", " be!"), (" to", " to")):
+        assert encoder.words.pop(key) == encoder.whole([piece])[0]
+
+
 def ids_of(encoder, rows, end):
     return {d: encoder.whole([t or ""])[0] + np.array([end], "<u4").tobytes() for d, t in rows}
 
@@ -122,6 +131,16 @@ def test_wavelet_matrix_by_brute_force(size):
         wavelet.Shard(b"something else")
 
 
+@pytest.mark.parametrize("size", [0, 63, 64, 65, 1000])
+def test_planes_are_moved_in_parts(monkeypatch, size):
+    """Parts smaller than a shard give the same file, and the same tokens from it."""
+    ids = np.random.default_rng(size).integers(0, 50257, size).astype("<u4")
+    whole = wavelet.write_shard([1], np.array([size]), ids)
+    monkeypatch.setattr(wavelet, "PART", 64)
+    assert wavelet.write_shard([1], np.array([size]), ids) == whole
+    assert (wavelet.Shard(whole).tokens() == ids).all()
+
+
 @pytest.mark.parametrize("limit", [1, 500, 10**6])
 def test_shards_give_back_all_documents(spark, docs, encoder, tmp_path, limit):
     rows = lengths()
