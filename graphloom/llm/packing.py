@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches
-from graphloom.llm.tokens import encoder
+from graphloom.llm.tokens import encoder, together
 
 WINDOW = 2048
 END = 1
@@ -124,17 +124,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
         packer = SumOfSquares(window)
 
         def windows() -> Iterator[list[Piece]]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    texts = [t or "" for t in part["text"].to_pylist()]
-                    for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(texts)):
-                        ids += closing
-                        total, whole = len(ids) // 4, len(ids) // (4 * window)
-                        for k in range(whole):
-                            yield [(doc_id, k * window, ids[4 * k * window : 4 * (k + 1) * window], total)]
-                        if rest := ids[4 * whole * window :]:
-                            yield from packer.add((doc_id, whole * window, rest, total))
+            for doc_ids, texts in together(batches):
+                for doc_id, ids in zip(doc_ids, encode(texts)):
+                    ids += closing
+                    total, whole = len(ids) // 4, len(ids) // (4 * window)
+                    for k in range(whole):
+                        yield [(doc_id, k * window, ids[4 * k * window : 4 * (k + 1) * window], total)]
+                    if rest := ids[4 * whole * window :]:
+                        yield from packer.add((doc_id, whole * window, rest, total))
             yield from packer.finish()
 
         yield from _batches(_rows(windows(), first))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import small_batches
-from graphloom.llm.tokens import encoder
+from graphloom.llm.tokens import encoder, together
 from graphloom.scratch import scratch_path
 
 MAGIC = b"GLWM0001"
@@ -210,16 +210,14 @@ def _shards(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int, limit:
             ["part", "seq", "n_docs", "n_tokens", "file"],
         )
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            piece = batch.slice(at, 256)
-            for doc_id, raw in zip(piece["doc_id"].to_pylist(), encode([t or "" for t in piece["text"].to_pylist()])):
-                if ids and size + len(raw) // 4 + 1 > limit:
-                    yield made()
-                    ids, held, size, seq = [], [], 0, seq + 1
-                ids.append(doc_id)
-                held.append(raw + closing)
-                size += len(raw) // 4 + 1
+    for doc_ids, texts in together(batches):
+        for doc_id, raw in zip(doc_ids, encode(texts)):
+            if ids and size + len(raw) // 4 + 1 > limit:
+                yield made()
+                ids, held, size, seq = [], [], 0, seq + 1
+            ids.append(doc_id)
+            held.append(raw + closing)
+            size += len(raw) // 4 + 1
     if ids:
         yield made()
     encoder(tokenizer).rest()

@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import packing, wavelet
-from graphloom.llm.tokens import Encoder
+from graphloom.llm.tokens import Encoder, together
 from tests.llm.conftest import AWKWARD, prose
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +40,31 @@ def test_a_word_is_kept_under_one_key():
         assert encoder.words.pop(key) == encoder.whole([piece])[0]
 
 
+def test_a_word_is_looked_up_once_for_many_texts():
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    asked = []
+    encoder = Encoder(PATH, cache=50)
+    encoder.words = Asked()
+    texts = [f"Été to, be\n{n % 7} été be\nto, x{n % 5}y!" for n in range(100)]
+    assert encoder.encode(texts) == encoder.whole(texts)
+    assert len(asked) == len({*asked}) == 5 + 7 + 5
+    for _ in range(3):
+        encoder.cache = 0  # all words are the old ones from now on
+        assert encoder.encode(texts[::-1]) == encoder.whole(texts[::-1])
+
+
+def test_texts_of_small_batches_are_cut_together():
+    rows = [(3, "abc"), (None, None), (3, "de"), (4, ""), (5, "x" * 9), (6, "f")]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": d, "text": t}]) for d, t in rows]
+    assert list(together(batches)) == [([d for d, _ in rows], [t or "" for _, t in rows])]
+    assert [ids for ids, _ in together(batches, 5)] == [[3, None, 3], [4, 5], [6]]
+    assert list(together([])) == []
+
+
 def ids_of(encoder, rows, end):
     return {d: encoder.whole([t or ""])[0] + np.array([end], "<u4").tobytes() for d, t in rows}
 
