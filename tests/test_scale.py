@@ -1,14 +1,18 @@
 """How the work is laid out: what is written, shuffled and read once."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from graphloom.operators import counts, nodes, relations, topk
 from graphloom.operators.clean import dedupe_latest
-from graphloom.scratch import materialize
+from graphloom.operators.relations import text_overlap
+from graphloom.scratch import materialize, scratch_path, step
+from graphloom.sources.store import Run
 from tests.conftest import TINY, frame, shared, visits
 from tests.test_relations import overlap
 from tests.test_topk import brute_force, ranking
@@ -152,3 +156,41 @@ def test_keys_are_counted_without_joining_members_to_them(spark, monkeypatch):
         sizes = [r.n for r in relation.members.groupBy(*relation.keys).agg(F.countDistinct("u").alias("n")).collect()]
         assert tuple(got) == ("t", met.touched, len(sizes), sum(sizes), max(sizes), met.n // 2)
         assert relations.count_pairs(relation, 7).first().pairs == relations.pairs(relation).count()
+
+
+def scratch_tables(spark) -> set[str]:
+    """Names of the tables now in the application's scratch folder."""
+    root = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    return {p.name.rpartition("-")[0] for p in root.iterdir()} if root.exists() else set()
+
+
+def test_a_step_leaves_its_result_only(spark):
+    before = scratch_tables(spark)
+
+    def two() -> DataFrame:
+        inner = step(spark, lambda: materialize(spark.range(9), "step-inner").where("id > 2"), "step-middle")
+        return inner.unionByName(materialize(spark.range(3), "step-other"))
+
+    made = step(spark, two, "step-made")
+    assert sorted(r.id for r in made.collect()) == [0, 1, 2, *range(3, 9)]
+    assert scratch_tables(spark) - before == {"step-made"}
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    """They went when the driver collected garbage, so those of a whole job lay on disk together."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    before = files()
+    kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert materialize(kept, "counted").count() == 7
+    Run(spark, scratch_path(spark, "store"), "t").write(kept, "counted")
+    assert not {f for f in files() - before if f.name.endswith(".data") and f.stat().st_size}
+
+
+def test_texts_leave_classes_and_pairs_only(spark):
+    before = scratch_tables(spark)
+    texts = [(k, f"red green blue w{k} v{k % 2}") for k in range(8)]
+    found = text_overlap(spark.createDataFrame(texts, "doc_id bigint, text string"), 50)
+    assert found.pairs.count() == 28
+    assert found.classes.count() == 8
+    assert scratch_tables(spark) - before <= {"text-classes", "alike"}
