@@ -1,6 +1,7 @@
 """How the work is laid out: what is written, shuffled and read once."""
 
 import random
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -8,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from graphloom.operators import counts, nodes, relations, topk
+from graphloom.operators import counts, nodes, relations, summary, topk
 from graphloom.operators.clean import dedupe_latest
 from graphloom.operators.relations import text_overlap
-from graphloom.scratch import materialize, scratch_path, step
+from graphloom.scratch import materialize, scratch_path, setting, step
 from graphloom.sources.store import Run
 from tests.conftest import TINY, frame, shared, visits
 from tests.test_relations import overlap
@@ -182,15 +183,68 @@ def test_writes_leave_no_shuffle_files(spark):
     files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
     before = files()
     kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
-    assert materialize(kept, "counted").count() == 7
-    Run(spark, scratch_path(spark, "store"), "t").write(kept, "counted")
+    one = materialize(kept, "counted")
+    two = Run(spark, scratch_path(spark, "store"), "t").write(kept, "counted")
     assert not {f for f in files() - before if f.name.endswith(".data") and f.stat().st_size}
+    assert one.count() == two.count() == 7
 
 
 def test_texts_leave_classes_and_pairs_only(spark):
     before = scratch_tables(spark)
     texts = [(k, f"red green blue w{k} v{k % 2}") for k in range(8)]
     found = text_overlap(spark.createDataFrame(texts, "doc_id bigint, text string"), 50)
-    assert found.pairs.count() == 28
+    assert found.pairs.count() == 12
     assert found.classes.count() == 8
-    assert scratch_tables(spark) - before <= {"text-classes", "alike"}
+    assert scratch_tables(spark) - before <= {"text-classes", "alike-candidates", "alike", "large-keys"}
+
+
+def dense(spark, days: bool):
+    """600 users of whom each has several of four items, so keys are few and large."""
+    rng = random.Random(5)
+    first = datetime(2024, 1, 1)
+    rows = [(u, i, 3, first + timedelta(days=rng.randrange(2))) for u in range(600) for i in range(4) if rng.random() < 0.7]
+    build = relations.rating_within_days if days else relations.co_user
+    return relations.with_members(build(frame(spark, rows)))
+
+
+@pytest.mark.parametrize("days", [False, True])
+def test_large_sketches_are_not_sent_with_each_member(spark, monkeypatch, days):
+    plans = {}
+
+    def noted(df, label):
+        made = materialize(df, label)
+        with setting(spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+            plans[label] = plan(df.select("*"))
+        return made
+
+    monkeypatch.setattr(counts, "materialize", noted)
+    relation = dense(spark, days)
+    estimates = {r.node: r.neighbours for r in counts.neighbours(relation, 7).collect()}
+    # neither a sketch of each member is shuffled, nor rows with one sorted
+    assert plans["neighbours"].count("Exchange hashpartitioning") == 1
+    assert plans["neighbours"].index("BroadcastHashJoin") < plans["neighbours"].index("Sort [")
+    monkeypatch.setattr(counts, "HELD", 0)
+    as_before = {r.node: r.neighbours for r in counts.neighbours(relation, 7).collect()}
+    assert estimates.keys() == as_before.keys()
+    assert all(abs(estimates[n] - as_before[n]) <= 0.25 * as_before[n] for n in estimates)
+
+
+def test_pairs_are_counted_in_rounds_and_leave_nothing(spark):
+    for build in (relations.co_user, relations.rating_within_days):
+        relation = relations.with_members(build(frame(spark, visits(11))))
+        want = [(r.dataset, r.pairs) for r in relations.count_pairs(relation).collect()]
+        assert want == [("t", relations.pairs(relation).count())]
+        assert [tuple(r) for r in relations.count_pairs(relation, rounds=3).collect()] == want
+        before = scratch_tables(spark)
+        stats = summary.relation_stats(relation).collect()
+        assert [r.pairs for r in stats] == [want[0][1]]
+        assert scratch_tables(spark) - before <= {"relation-stats"}
+        assert Path(relation.members.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_a_dense_relation_is_counted_in_several_rounds(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(summary, "count_pairs", lambda r, rounds: asked.append(rounds) or relations.count_pairs(r, rounds=rounds))
+    [row] = summary.relation_stats(dense(spark, False), exact=10_000).collect()
+    assert row.exact and row.pairs == relations.pairs(dense(spark, False)).count()
+    assert asked == [-(-row.pair_key_count // (summary.AT_ONCE * row.members))] and asked[0] > 10
