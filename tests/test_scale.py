@@ -189,6 +189,19 @@ def test_writes_leave_no_shuffle_files(spark):
     assert one.count() == two.count() == 7
 
 
+def test_settings_are_as_they_were(spark):
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    assert spark.conf.get(name) == "true"
+    with setting(spark, name, "false"):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name) == "true"
+    spark.conf.set(name, "true")
+    with pytest.raises(ZeroDivisionError), setting(spark, name, "false"):
+        raise ZeroDivisionError
+    assert spark.conf.get(name, None) == "true"
+    spark.conf.unset(name)
+
+
 def test_texts_leave_classes_and_pairs_only(spark):
     before = scratch_tables(spark)
     texts = [(k, f"red green blue w{k} v{k % 2}") for k in range(8)]
